@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_frames
+from . import exact_dedup, license_rules, packing, token_frames, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": packing.op1_packing,
     "op3_token_frames": token_frames.op3_token_frames,
+    "op5_url_rules": url_rules.op5_url_rules,
+    "op7_license_rules": license_rules.op7_license_rules,
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op5_url_rules": url_rules.ORACLE,
+    "op7_license_rules": license_rules.ORACLE,
+    "op9_exact_dedup": exact_dedup.ORACLE,
 }
-ORACLES: dict[str, str] = {}
