@@ -50,8 +50,8 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """The rows of Arrow batches, some at a time as Python values."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
             yield from zip(*(part.column(c).to_pylist() for c in columns))
 
 
