@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_rules, packing, quality_rules, token_frames, tree_bpe, url_rules
+from . import exact_dedup, jaccard_join, license_rules, packing, quality_rules, token_frames, tree_bpe, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": packing.op1_packing,
     "op3_token_frames": token_frames.op3_token_frames,
     "op5_url_rules": url_rules.op5_url_rules,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_license_rules": license_rules.op7_license_rules,
     "op8_robust_quality": quality_rules.op8_robust_quality,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
