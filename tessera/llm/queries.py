@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, license_rules, packing, quality_rules, token_frames, tree_bpe, url_rules
+from . import exact_dedup, jaccard_join, license_rules, packing, pu_quality, quality_rules, suffix_repeats, token_frames, tree_bpe, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": packing.op1_packing,
+    "op2_pu_quality": pu_quality.op2_pu_quality,
     "op3_token_frames": token_frames.op3_token_frames,
+    "op4_suffix_repeats": suffix_repeats.op4_suffix_repeats,
     "op5_url_rules": url_rules.op5_url_rules,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_license_rules": license_rules.op7_license_rules,
