@@ -9,7 +9,8 @@ from .runtime import written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component: the smallest node reachable, for every node of a link.
+    """node, component: the smallest node reachable, for every node that is not
+    itself the smallest of its component.
 
     Alternating large-star and small-star steps; each is a minimum by node,
     combined before the shuffle, and a join that adaptive execution can split

@@ -134,8 +134,8 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> tuple[np.ndarray, n
 
     table = kinds.mapInArrow(measure, "kind long, x array<double>").toArrow()
     kind = np.array(table["kind"])
-    x = np.array(table["x"].to_pylist(), np.float64).reshape(len(kind), -1)
-    order = np.lexsort((*x.T, kind)) if len(kind) else np.empty(0, int)
+    x = np.array(table["x"].to_pylist(), np.float64).reshape(len(kind), len(features("")))
+    order = np.lexsort((*x.T, kind))  # the fit doesn't depend on the order of rows
     return x[order][kind[order] == 1], x[order][kind[order] == 0], prior
 
 
