@@ -36,7 +36,7 @@ _NO_CUT = re.compile(r" (?:\s|\Z)")
 _PLAIN = re.compile(r"[\t\n\r -~\xa0-ɏ]*")
 
 #: Entries and longest entry of each of a worker's two caches; a full cache takes no more.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 CACHE_LENGTH = 64
 
 

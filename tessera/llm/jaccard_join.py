@@ -9,12 +9,16 @@ neighbourhoods are indexed.  How many segments are of either kind is chosen by
 cost: signatures written against expected chance meetings.  Small sizes at the
 low end of a band also join the band below, where their smaller partners are.
 
-Signatures that two nodes share are candidates.  A node is first verified
-against one centre, the best supported node that it shares a signature with;
-links found so make components.  Then every signature whose nodes are in
-different components gives all pairs across these components, so no link
-between components is missed; links inside a component add nothing.  All
-verification is of whole sets, dealt by centre and salt.
+Nodes that share a signature are candidates.  Each signature has a centre, its
+best supported node, against which all its nodes are verified; links found so
+make components.  What may still be missing are links between nodes that share
+a signature and are in different components.  Both have been compared with that
+signature's centre, and the elements in which two nodes differ follow from those
+in which each differs from the centre.  So two such nodes can be similar only if
+these differences overlap enough, and then they share an element in the rare
+part of both (prefix filter, rarest first).  Pairs found by that are verified
+too; links inside a component add nothing.  No group emits all its pairs, and
+none is capped.  All verification is of whole sets, dealt by centre and salt.
 
 Null and empty texts have an empty set and are linked with nothing.  Repeated
 rows are copies.  A null doc_id takes part as text; its component is that of
@@ -34,44 +38,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import Out, read, rows_of, texts, written
+from .runtime import Out, read, release, rows_of, texts, written
 from .words import mixed, shingles
 
-#: Ratio of a band's sizes, in steps of 1 / similarity.
-BAND_STEPS = 3
-#: Cost of a chance meeting against that of a signature, and chance that an element is common.
-MEETING, COMMON = 2000.0, 0.2
+#: Ratio of a band's sizes, in steps of 1 / similarity, from and below a similarity of 85 percent.
+BAND_STEPS = (3, 2)
+#: Cost of a chance meeting, and of an empty segment's signature, against that of a signature, and chance that an element is common.
+MEETING, EMPTY, COMMON = 200.0, 1000.0, 0.05
 #: Spokes of a centre that are verified by one task; so many wanted documents are found by broadcast, more by join.
 SPOKES, BROADCAST_ROWS = 2000, 500_000
 
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
+def steps(percent: int) -> int:
+    return BAND_STEPS[percent < 85]
+
+
 class Scheme:
-    """The signatures of one band of sizes."""
+    """The signatures of one band of sizes.
+
+    Two sets of the band differ in at most ``differ`` elements, and each of
+    these touches one segment.  An exact segment takes one of them to hide an
+    agreement, one with deletions two; so units of more than ``differ`` make
+    sure of an agreement.  Segments empty in both sets agree and say nothing:
+    with ``spare`` units more, a set with no more empty segments than that
+    gives no signature for them; a set with more gives them all."""
 
     def __init__(self, band: int, percent: int):
-        ratio = percent / 100
-        width = ratio**-BAND_STEPS
+        width = (percent / 100) ** -steps(percent)
         self.band = band
         self.low = max(1, math.ceil(width**band - 1e-9))
         self.top = max(self.low, math.ceil(width ** (band + 1) - 1e-9) - 1)
         # A partner from the band above has at most top / ratio elements.
-        self.reach = self.top * 100 // percent
-        differ = (self.top + self.reach) * (100 - percent) // (100 + percent)
-        self.differ = min(differ, 2 * self.reach)
+        reach = self.top * 100 // percent
+        self.differ = min((self.top + reach) * (100 - percent) // (100 + percent), 2 * reach)
         need = self.differ + 1
-        best = min(range(need // 2 + 1), key=lambda a: self.cost(a, need - 2 * a))
-        self.deleting, self.exact = best, max(0, need - 2 * best)
+        spares = [0, 1, 2, 3, *sorted({int(1.3**k) for k in range(6, 60) if 1.3**k < 2 * need + 8})]
+        plans = [(self.exact_cost(need, n), 0, need + n, n) for n in spares]
+        plans += [(self.deletion_cost(n, need - 2 * n), n, max(0, need - 2 * n), -1) for n in range(1, min(need // 2 + 1, 64) + 1)]
+        _, self.deleting, self.exact, self.spare = min(plans)
         # A segment with deletions is two units wide.
         self.units = np.array([k for k in range(self.deleting) for _ in (0, 1)] + [self.deleting + k for k in range(self.exact)], np.int64)
         self.segments = self.deleting + self.exact
-        self.seed = np.uint64(xxhash.xxh3_64_intdigest(f"{band} {percent} {BAND_STEPS}".encode()))
-
-    def cost(self, deleting: int, exact: int) -> float:
-        size = (self.low + self.top) / 2 / (2 * deleting + exact)
-        meet = lambda n: MEETING * COMMON ** max(0.0, n)
-        return exact * (1 + meet(size)) + deleting * (1 + 2 * size) * (1 + meet(2 * size - 1))
+        self.seed = np.uint64(xxhash.xxh3_64_intdigest(f"{band} {percent} {steps(percent)}".encode()))
+
+    def exact_cost(self, need: int, spare: int) -> float:
+        """Signatures, chance meetings, and empty segments if they are many."""
+        n, size = need + spare, (self.low + self.top) / 2
+        mean = size / n
+        none = n * (1 - 1 / n) ** self.low if n > 1 else 0.0
+        if none > 50:
+            below = (1 + math.erf((spare + 0.5 - none) / math.sqrt(2 * none))) / 2
+        else:  # Poisson
+            term, below = math.exp(-none), 0.0
+            for k in range(spare + 1):
+                below += term
+                term *= none / (k + 1)
+        return n * (1 + MEETING * _meets(mean)) + max(0.0, 1 - below) * none * EMPTY
+
+    def deletion_cost(self, deleting: int, exact: int) -> float:
+        exact = max(0, exact)
+        n, size = 2 * deleting + exact, (self.low + self.top) / 2
+        mean = size / n
+        one = MEETING * _meets(mean) + EMPTY * math.exp(-mean) if n > 1 else 0.0
+        two = MEETING * _meets(2 * mean) + EMPTY * math.exp(-2 * mean) * (1 + 2 * mean) if n > 2 else 0.0
+        return exact * (1 + one) + deleting * (1 + 2 * mean) * (1 + two)
 
     def signatures(self, h: np.ndarray) -> np.ndarray:
         value = mixed(h ^ self.seed)
@@ -79,18 +111,29 @@ class Scheme:
         value = mixed(value * _C1)
         order = np.argsort(segment, kind="stable")
         segment, value = segment[order], value[order]
-        starts = np.searchsorted(segment, np.arange(self.segments))
+        starts = np.searchsorted(segment, np.arange(self.segments + 1))
         total = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
-        sums = total[np.append(starts[1:], len(value))] - total[starts]
+        sums = total[starts[1:]] - total[starts[:-1]]
         place = np.arange(self.segments, dtype=np.uint64) * _C2 + self.seed
-        out = [mixed(sums ^ place)]
+        full = starts[1:] > starts[:-1]
+        if 0 <= self.segments - np.count_nonzero(full) <= self.spare:
+            sums, kept = sums[full], place[full]
+        else:
+            kept = place
+        out = [mixed(sums ^ kept)]
         if self.deleting:
             inner = segment < self.deleting
             at = segment[inner]
-            out.append(mixed((sums[at] - value[inner]) ^ place[at]))
+            whole = total[starts[1:]] - total[starts[:-1]]
+            out.append(mixed((whole[at] - value[inner]) ^ place[at]))
         return np.unique(np.concatenate(out))
 
 
+def _meets(mean: float) -> float:
+    """Chance that all elements of a segment, one at least, are common ones."""
+    return math.exp(-mean * (1 - COMMON)) - math.exp(-mean)
+
+
 @lru_cache(4096)
 def scheme(band: int, percent: int) -> Scheme:
     return Scheme(band, percent)
@@ -99,7 +142,7 @@ def scheme(band: int, percent: int) -> Scheme:
 @lru_cache(1 << 16)
 def schemes(size: int, percent: int) -> tuple[Scheme, ...]:
     """The band of a size, and the band below if partners may be there."""
-    band = max(0, int(math.log(size) / -BAND_STEPS / math.log(percent / 100)) - 1)
+    band = max(0, int(math.log(size) / -steps(percent) / math.log(percent / 100)) - 1)
     while scheme(band, percent).top < size:
         band += 1
     own = scheme(band, percent)
@@ -109,7 +152,7 @@ def schemes(size: int, percent: int) -> tuple[Scheme, ...]:
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("twin", pa.int64()), ("sigs", pa.list_(pa.int64()))])
 _TOLD = pa.schema([("centre", pa.int64()), ("salt", pa.int64()), ("spoke", pa.int64()), ("first", pa.int64()), ("set", pa.binary())])
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("size", pa.int64()), ("middle", pa.int64()), ("differ", pa.list_(pa.int64()))])
 
 
 def node_of(h: np.ndarray, seed: int) -> tuple[int, int]:
@@ -144,12 +187,13 @@ def sets(docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar; docs has one row of
-    (doc_id, text) for each node's rep, pairs has a, a_rep, b, b_rep."""
+    """For each pair of nodes (a, a_rep, b, b_rep): whether they are linked,
+    the sizes of a and b, and the elements in which a and b differ."""
     share = pairs.groupBy("b").agg(F.max("b_rep").alias("b_rep"), F.ceil(F.count(F.lit(1)) / SPOKES).cast("long").alias("salts"))
     share = written(share)
     # pairs grouped by spoke, so that a set is computed once and told to each centre
-    spokes = pairs.join(share.drop("b_rep"), "b").select(F.col("a_rep").alias("rep"), F.col("a").alias("node"), F.struct(F.col("b").alias("centre"), F.pmod("a", "salts").alias("salt"), F.lit(1).cast("long").alias("first")).alias("to"))
+    sized = share.drop("b_rep")
+    spokes = pairs.join(F.broadcast(sized) if share.count() <= BROADCAST_ROWS else sized, "b").select(F.col("a_rep").alias("rep"), F.col("a").alias("node"), F.struct(F.col("b").alias("centre"), F.pmod("a", "salts").alias("salt"), F.lit(1).cast("long").alias("first")).alias("to"))
     centres = share.select(F.col("b_rep").alias("rep"), F.col("b").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select("rep", "node", F.struct(F.col("node").alias("centre"), "salt", F.lit(0).cast("long").alias("first")).alias("to"))
     want = written(spokes.unionByName(centres).groupBy("rep", "node").agg(F.collect_list("to").alias("to")))
     side = F.broadcast(want) if want.count() <= BROADCAST_ROWS else want
@@ -175,19 +219,55 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, seed:
                 key, centre = (b, salt), np.frombuffer(data, np.uint64)
             elif (b, salt) == key:
                 spoke = np.frombuffer(data, np.uint64)
-                small, large = (spoke, centre) if len(spoke) < len(centre) else (centre, spoke)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int(np.count_nonzero(large[at] == small))
-                if 100 * both >= percent * (len(small) + len(large) - both) and out.add((a, b)):
+                differ = np.setxor1d(spoke, centre, assume_unique=True)
+                union = (len(spoke) + len(centre) + len(differ)) // 2
+                linked = 100 * (union - len(differ)) >= percent * union
+                if out.add((a, b, linked, len(spoke), len(centre), differ.view(np.int64)), 8 * len(differ)):
                     yield out.take()
         yield from out.rest()
 
     told = found.mapInArrow(tell, "centre long, salt long, spoke long, first long, set binary")
     dealt = told.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "first")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(compare, "a long, b long, linked boolean, size long, middle long, differ array<long>")
+
+
+def across(compared: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, a_rep, b, b_rep) of nodes in different components that may be
+    linked, among those that share a signature and so a centre."""
+    # Only a centre whose nodes are in several components, one of them not
+    # linked to it, can have pairs left.
+    slim = compared.select("b", "a", "linked", "size", "middle", F.size("differ").cast("long").alias("d"))
+    slim = written(slim.join(placed.select(F.col("node").alias("a"), "rep", "comp"), "a"))
+    open_ = slim.groupBy("b").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("b")
+    open_ = written(open_)
+    near = written(slim.join(F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_, "b"))
+    ids = near.select("b", "a")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    # Sets of sizes r and s differ by at most reach(r + s) elements.
+    reach = lambda total: F.floor(total * (100 - percent) / (100 + percent) + 1e-9).cast("long")
+    most = reach(F.col("size") + F.floor(F.col("size") * 100 / percent))
+    each = compared.join(side, ["b", "a"]).select("b", "a", F.explode("differ").alias("x"))
+    rare = each.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Elements that no other node differs in come first of all; they need no
+    # rows, as nothing meets there, but they count for the places of the rest.
+    shared = each.join(rare, ["b", "x"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("xs"))
+    told = near.join(shared, ["b", "a"]).withColumn("alone", F.col("d") - F.size("xs"))
+    told = told.select("*", F.posexplode("xs").alias("at", "e")).select("b", "a", "rep", "comp", "linked", "size", "d", F.col("e.x").alias("x"), (F.col("alone") + F.col("at") + 1).alias("place")).where(F.col("place") <= F.when(F.col("linked"), F.col("d")).otherwise(most + 1))
+    # Little different nodes of which sizes alone may make a link: no shared
+    # element is needed where d and d' together are within reach.
+    least = reach(F.ceil(F.col("size") * percent / 100) + F.col("middle")) + 1
+    slack = near.where(F.when(F.col("linked"), F.col("d") + least <= most).otherwise(F.col("d") <= most)).select("b", "a", "rep", "comp", "linked", "size", "d", F.lit(None).cast("long").alias("x"), F.lit(0).cast("long").alias("place"))
+    told = written(told.unionByName(slack))
+    # A linked node belongs to its centre's component: of two such nodes no
+    # pair is open; so one of a pair is not linked to the centre.
+    one, two = told.where("not linked"), told.select(*(F.col(c).alias(f"o_{c}") for c in told.columns))
+    need = F.ceil((F.col("d") + F.col("o_d") - reach(F.col("size") + F.col("o_size"))) / 2)
+    fits = (F.col("comp") != F.col("o_comp")) & (100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size"))
+    once = F.col("o_linked") | (F.col("a") < F.col("o_a"))
+    by_element = (F.col("b") == F.col("o_b")) & (F.col("x") == F.col("o_x")) & fits & once & (F.col("place") <= F.col("d") - need + 1) & (F.col("o_place") <= F.col("o_d") - need + 1)
+    by_slack = (F.col("b") == F.col("o_b")) & fits & once & (need <= 0)
+    found = one.where("x is not null").join(two.where("o_x is not null"), by_element).unionByName(one.where("x is null").join(two.where("o_x is null"), by_slack))
+    return found.select("a", F.col("rep").alias("a_rep"), F.col("o_a").alias("b"), F.col("o_rep").alias("b_rep")).distinct()
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -200,44 +280,43 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0) -> t
     if nodes.where("clash").limit(1).count():
         raise ValueError("two sets have one hash; take another seed")
     exploded = rows.select("node", F.explode("sigs").alias("sig"))
-    shared = exploded.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y").select("sig", "n")
-    met = exploded.join(shared, "sig").groupBy("node").agg(F.sum("n").alias("support"), F.collect_set("sig").alias("sigs"))
-    known = written(met.join(nodes.select("node", "rep", F.col("n").alias("size")), "node"))
-
-    # Round 1: every node with the best supported centre that it meets.
-    flat = known.select("sig", "node", "rep", "support", "size") if "sig" in known.columns else known.select(F.explode("sigs").alias("sig"), "node", "rep", "support", "size")
-    rank = lambda: F.struct("support", (-F.col("rep")).alias("late"), "node", "rep", "size")
-    centre = flat.groupBy("sig").agg(F.max(rank()).alias("c"))
-    fits = (100 * F.least("size", "c.size") >= percent * F.greatest("size", "c.size")) & (F.col("node") != F.col("c.node"))
-    best = flat.join(centre, "sig").where(fits).groupBy("node").agg(F.max("c").alias("c"), F.max("rep").alias("a_rep"))
-    pairs = written(best.select(F.col("node").alias("a"), "a_rep", F.col("c.node").alias("b"), F.col("c.rep").alias("b_rep")))
-    links = written(verified(docs, pairs, words, percent, seed))
+    popular = written(exploded.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"))
+    side = F.broadcast(popular) if popular.count() <= BROADCAST_ROWS else popular
+    # A table of its own: what follows by signature combines before it shuffles.
+    hit = written(exploded.join(side, "sig").select("sig", "node"))
+    # Signatures of the same nodes say the same: one stands for all.  Nodes are
+    # told by number, least, greatest and two sums of parts of their hashes,
+    # which are null, and then not used, where they overflow.
+    told = hit.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("n"), F.try_sum(F.col("node").bitwiseAND((1 << 40) - 1)).alias("p"), F.try_sum(F.shiftrightunsigned("node", 24)).alias("q")).where("x != y")
+    shared = written(told.groupBy("x", "y", "n", F.coalesce("p", "sig").alias("p"), F.coalesce("q", "sig").alias("q")).agg(F.min("sig").alias("sig"), (F.col("n") * F.count(F.lit(1))).alias("weight")).select("sig", "weight"))
+    side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    met = hit.join(side, "sig").groupBy("node").agg(F.sum("weight").alias("support"), F.collect_set("sig").alias("sigs"))
+    known = written(met.join(nodes.select("node", "rep"), "node"))
+    slim = written(rows.select("doc_id", "n", "node"))
+    release(rows, popular, hit, shared)
+    flat = known.select(F.explode("sigs").alias("sig"), "node", "rep", "support")
+    centre = written(flat.groupBy("sig").agg(F.max(F.struct("support", (-F.col("rep")).alias("late"), "node", "rep")).alias("c")).select("sig", F.col("c.node").alias("b"), F.col("c.rep").alias("b_rep")))
+    pairs = flat.join(centre, "sig").where("node != b").select(F.col("node").alias("a"), F.col("rep").alias("a_rep"), "b", "b_rep").distinct()
+    compared = written(verified(docs, written(pairs), words, percent, seed))
+    placed = written(known.select("node", "rep"))
+    release(known, centre)
 
     def named(found: DataFrame) -> DataFrame:
         a, b = nodes.select(F.col("node").alias("a"), F.col("rep").alias("a_rep")), nodes.select(F.col("node").alias("b"), F.col("rep").alias("b_rep"))
-        return found.join(a, "a").join(b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+        return found.where("linked").join(a, "a").join(b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
-    linked = written(named(links))
+    linked = written(named(compared))
     part = components(linked)
-
-    # Round 2: all pairs across components that still share a signature.
-    placed = known.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", "size", F.coalesce("component", "rep").alias("comp"), "sigs")
-    placed = written(placed)
-    flat = placed.select(F.explode("sigs").alias("sig"), "node", "rep", "size", "comp")
-    open_ = flat.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("sig")
-    left = written(flat.join(open_, "sig"))
-    other = left.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("node", "rep", "size", "comp")))
-    across = left.join(other, "sig").where((F.col("comp") < F.col("o_comp")) & (100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size")))
-    rest = across.select(F.col("node").alias("a"), F.col("rep").alias("a_rep"), F.col("o_node").alias("b"), F.col("o_rep").alias("b_rep")).distinct()
-    done = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = written(rest.join(done, ["a", "b"], "left_anti"))
+    placed = placed.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("comp"))
+    rest = written(across(compared, placed, percent))
+    release(compared)
     if rest.limit(1).count():
         more = written(named(verified(docs, rest, words, percent, seed)))
         if more.limit(1).count():
             linked = written(linked.unionByName(more))
             part = components(linked)
     of = nodes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "node").join(of, "node", "left")
+    out = slim.join(of, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id")), linked
 
 

@@ -33,12 +33,30 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
+#: Spark then drops the shuffle files of a table's making once it is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and lost
     executors cost no more than the tasks they ran."""
-    folder = folder or scratch_folder(df.sparkSession)
-    df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark, folder = df.sparkSession, folder or scratch_folder(df.sparkSession)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.scratch = folder
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written() tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

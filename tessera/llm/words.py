@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Entries of a worker's cache of word hashes; a full cache takes no more.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
