@@ -45,8 +45,9 @@ class Plan:
 class _Output:
     label: str
     column: SparkColumn
-    #: the bare column name by which ORDER BY may also mean this output
-    bare: str = ""
+    #: internal name of the column that this output is, if it has no alias;
+    #: ORDER BY may then mean it by any of the column's names
+    origin: str = ""
 
 
 def plan_select(s: N.Select, tables: Tables, ordered: bool = False, joins: bool = True) -> Plan:
@@ -104,15 +105,15 @@ def plan_select(s: N.Select, tables: Tables, ordered: bool = False, joins: bool
 
 def _plain(s: N.Select, binding: Binding, resolve) -> list[_Output]:
     if s.star:
-        return [_Output(binding.label(b), F.col(b.internal), b.column.name) for b in binding.columns()]
+        return [_Output(binding.label(b), F.col(b.internal), b.internal) for b in binding.columns()]
     out = []
     for item in s.items:
         column, _ = compiled(item.expr, resolve)
         if item.alias:
             out.append(_Output(item.alias, column))
         elif isinstance(item.expr, N.Ref):
-            bare = binding.resolve(item.expr.name).column.name
-            out.append(_Output(bare, column, bare))
+            bound = binding.resolve(item.expr.name)
+            out.append(_Output(bound.column.name, column, bound.internal))
         else:
             out.append(_Output(str(item.expr), column))
     return out
@@ -150,8 +151,7 @@ def _grouped(s: N.Select, df: DataFrame, binding: Binding, resolve, keys: list[s
         bound = binding.resolve(item.expr.name)
         if bound.internal not in internals:
             raise InvalidArgument(f"column must appear in GROUP BY: {item.expr.name}")
-        bare = bound.column.name
-        outputs.append(_Output(item.alias or bare, F.col(bound.internal), "" if item.alias else bare))
+        outputs.append(_Output(item.alias or bound.column.name, F.col(bound.internal), "" if item.alias else bound.internal))
 
     def after(name: str) -> tuple[SparkColumn, Type]:
         """A name in HAVING: a group column."""
@@ -197,10 +197,10 @@ def _ordering(o: N.Order, outputs: list[_Output], binding: Binding) -> int:
         if out.label == o.name:
             return k
     try:
-        bare = binding.resolve(o.name).column.name
+        origin = binding.resolve(o.name).internal
     except InvalidArgument:
-        bare = ""
+        origin = None
     for k, out in enumerate(outputs):
-        if bare and out.bare == bare and (len(binding.tables) == 1 or out.label in (o.name, bare)):
+        if out.origin == origin:
             return k
     raise InvalidArgument(f"unknown ORDER BY column: {o.name}")

@@ -39,6 +39,7 @@ def test_selects(users):
     assert users.execute("SELECT id FROM users WHERE id >= 2").plan_tag == "Project<-PkRangeScan"
     assert users.execute("SELECT id FROM users LIMIT 2").rows == [(1,), (2,)]
     r = users.execute("SELECT id = 1, 'x', NULL FROM users WHERE id = 1")
+    assert users.execute("SELECT u.id, name FROM users u ORDER BY users.name, id DESC").rows == [(2, "ada"), (1, "ada"), (3, "bob")]
     assert r.column_names == ["Compare(Eq, Column(id), Literal(1))", "Literal('x')", "Literal(NULL)"] and r.rows == [(True, "x", None)]
 
 
@@ -120,6 +121,7 @@ def test_joins(users, db):
     users.execute("CREATE TABLE orders (id INT PRIMARY KEY, uid INT); INSERT INTO orders VALUES (7, 1); INSERT INTO orders VALUES (8, 3)")
     r = users.execute("SELECT * FROM users u INNER JOIN orders o ON u.id = o.uid")
     assert r.column_names == ["u.id", "u.name", "u.score", "o.id", "o.uid"] and r.rows == [(1, "ada", 10, 7, 1), (3, "bob", 20, 8, 3)]
+    assert users.execute("SELECT * FROM users u INNER JOIN orders o ON u.id = o.uid ORDER BY uid DESC, users.id").rows[0][0] == 3
     fails(users, "SELECT id FROM users INNER JOIN orders ON uid = score", "ambiguous column: id")
     fails(Session(db, joins=False), "SELECT name FROM users INNER JOIN orders ON uid = score", "joins are not supported")
 
