@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import _shared as shared_prefix
-from .runtime import Out, read, rows_of, texts, written
+from .runtime import Out, read, release, rows_of, texts, written
 from .words import mixed
 
 MIN, K = 400, 64
@@ -297,8 +297,10 @@ def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP) -
     met = written(flat.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("e") != F.max("e")).alias("mixed")).where("n > 1").select("h", "mixed"))
     side = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
     kinds = written(flat.join(side, "h").groupBy("h", "e", "mixed").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")))
-    sized = kinds.where("mixed").groupBy("h").agg(F.count(F.lit(1)).alias("of"))
-    wanted = kinds.where("mixed").join(sized, "h").select("h", "e", "c", "id", (F.col("of") > group).alias("hot"))
+    # Groups too large for a task are few; classes don't meet by h to learn it.
+    hot = written(kinds.where("mixed").groupBy("h").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > group).select("h", F.lit(True).alias("hot")))
+    side = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    wanted = kinds.where("mixed").join(side, "h", "left").select("h", "e", "c", "id", F.coalesce("hot", F.lit(False)).alias("hot"))
     found = written(contexts(docs, wanted, least, k))
     spans = _sorted_groups(found.where("not hot"), least)
     if found.where("hot").limit(1).count():
@@ -308,7 +310,9 @@ def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP) -
     each = some.select("id", "key", F.inline(F.arrays_zip("h", "e", "p", "lo", "hi")))
     hit = each.join(known, ["h", "e"]).select("id", "key", F.when(F.col("from").isNull(), F.array("lo")).otherwise(F.transform("from", lambda x: x + F.col("p"))).alias("from"), F.when(F.col("to").isNull(), F.array(F.col("hi") + least)).otherwise(F.transform("to", lambda x: x + F.col("p"))).alias("to"))
     parts = hit.groupBy("id", "key").agg(F.flatten(F.collect_list("from")).alias("from"), F.flatten(F.collect_list("to")).alias("to"))
-    return told, written(parts)
+    parts = written(parts)
+    release(rows, met, kinds, found, known)
+    return told, parts
 
 
 def _numbered(docs: DataFrame, *more: str) -> DataFrame:
