@@ -43,6 +43,8 @@ COVER, STEPS, LEAST = 0.75, 5, 200
 CUT = 2.326
 #: Fixed point of the statistics, and of log distances.
 UNIT, STEP = 10_000, 1_000
+#: Largest value of a statistic, which bounds the distinct values that are counted.
+MOST = 1_000.0
 #: Parameters of so many groups are broadcast; of more, joined by salt.
 BROADCAST_GROUPS, SALTS = 20_000, 64
 
@@ -84,7 +86,7 @@ def statistics(text: str) -> tuple[int, ...]:
         math.sqrt(dup / (len(lines) + 5)),
         math.sqrt(repeated / (n + 20)),
     )
-    return (n, chars, symbols, dup, repeated, *(round(min(x, 1e6) * UNIT) for x in vector))
+    return (n, chars, symbols, dup, repeated, *(round(min(x, MOST) * UNIT) for x in vector))
 
 
 def measured(docs: DataFrame) -> DataFrame:
