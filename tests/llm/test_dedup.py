@@ -119,6 +119,32 @@ def test_near_with_joins_instead_of_broadcasts(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == near_truth(rows, 3, 90)
 
 
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
+def test_near_in_large_groups(spark, monkeypatch, words, percent):
+    """Signatures of many nodes are left out where they can be, and nodes of one
+    centre are too many for a task."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 3)
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    line = " ".join(f"line{k}" for k in range(25))
+    rows = families(5) + [(9000 + k, f"{line} {t}") for k, (_, t) in enumerate(families(7)[:200])]
+    out, _ = jaccard_join.join(frame(spark, rows), words, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == near_truth(rows, words, percent)
+
+
+def test_sketches_bound_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        a, b = (rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64) * np.uint64(2) for _ in range(2))
+        b = np.unique(np.concatenate([b, a[: rng.integers(0, len(a) + 1)]]))
+        a = np.unique(a)
+        x, y = jaccard_join.sketch(a), jaccard_join.sketch(b)
+        size = min(len(x), len(y))
+        bound = int(np.bitwise_count(jaccard_join.folded(x, size) ^ jaccard_join.folded(y, size)).sum())
+        assert bound <= len(np.setxor1d(a, b))
+
+
 def test_near_on_documents_and_odd_rows(spark):
     docs = some(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
