@@ -22,6 +22,8 @@ from importlib import import_module
 
 import numpy as np
 
+from .runtime import hold
+
 # The pre-token patterns of the two known tokenizer shapes.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
@@ -149,9 +151,14 @@ class Encoder:
 
 
 @lru_cache(4)
+def _encoder(definition: str) -> Encoder:
+    return Encoder(definition)
+
+
 def worker_encoder(definition: str) -> Encoder:
     """One encoder, and so one cache, for each Python worker and definition."""
-    return Encoder(definition)
+    hold("encoder", _encoder.cache_clear)
+    return _encoder(definition)
 
 
 def ids_crc32(ids: bytes) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,18 +35,23 @@ def scratch_folder(spark: SparkSession) -> str:
 
 #: Spark then drops the shuffle files of a table's making once it is written.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch, and their number while a table is written: texts are long.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and lost
     executors cost no more than the tasks they ran."""
     spark, folder = df.sparkSession, folder or scratch_folder(df.sparkSession)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true", BATCH: str(BATCH_ROWS)}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         df.write.mode("overwrite").parquet(folder)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(folder)
     out.scratch = folder
     return out
@@ -59,6 +64,20 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: dict[str, Callable[[], object]] = {}
+_using = [""]
+
+
+def hold(kind: str, clear: Callable[[], object]) -> None:
+    """Says that this worker goes on with one kind of cache; it is then the
+    only one kept, as workers live on from one operator to the next."""
+    if _using[0] != kind:
+        for other, drop in _held.items():
+            if other != kind:
+                drop()
+        _held[kind], _using[0] = clear, kind
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the named columns alone: null text counts as empty,
     and other columns can't clash with an operator's own."""

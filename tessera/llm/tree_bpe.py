@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import Encoder, byte_alphabet, to_alphabet, tokenizer_json
-from .runtime import Out, read, rows_of, texts
+from .runtime import Out, hold, read, rows_of, texts
 
 LEAF = 512
 #: Bytes of a leaf that is a row of its own, and characters of a run that makes a document spread.
@@ -106,10 +106,15 @@ class TreeBPE:
 
 
 @lru_cache(4)
-def worker_tree(definition: str, leaf: int) -> TreeBPE:
+def _tree(definition: str, leaf: int) -> TreeBPE:
     return TreeBPE(definition, leaf)
 
 
+def worker_tree(definition: str, leaf: int) -> TreeBPE:
+    hold("tree", _tree.cache_clear)
+    return _tree(definition, leaf)
+
+
 _DONE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 _PART = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("kind", pa.int64()), ("part", pa.string()), ("ids", pa.binary())])
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .runtime import hold
+
 #: Entries of a worker's cache of word hashes; a full cache takes no more.
 CACHE_ENTRIES = 300_000
 
@@ -19,7 +21,7 @@ class _Hashes(dict):
         return value
 
 
-_hash = _Hashes().__getitem__
+_hashes = _Hashes()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -30,7 +32,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash, words), np.uint64, len(words))
+    hold("words", _hashes.clear)
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
