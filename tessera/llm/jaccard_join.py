@@ -11,14 +11,20 @@ low end of a band also join the band below, where their smaller partners are.
 
 Nodes that share a signature are candidates.  Each signature has a centre, its
 best supported node, against which all its nodes are verified; links found so
-make components.  What may still be missing are links between nodes that share
-a signature and are in different components.  Both have been compared with that
-signature's centre, and the elements in which two nodes differ follow from those
-in which each differs from the centre.  So two such nodes can be similar only if
-these differences overlap enough, and then they share an element in the rare
-part of both (prefix filter, rarest first).  Pairs found by that are verified
-too; links inside a component add nothing.  No group emits all its pairs, and
-none is capped.  All verification is of whole sets, dealt by centre and salt.
+make components.  What may still be missing are links between nodes of one
+centre that are in different components.
+
+Few nodes of a centre (GROUP at most) are compared in one task by parity
+sketches: the bits in which two sketches differ are never more than the elements
+in which the sets differ, so most pairs are ruled out for certain and only the
+others are verified.  The same bound spares nodes unlike their centre.
+
+Of a centre with more nodes, each node's difference from the centre is known
+whole.  The elements in which two nodes differ follow from those in which each
+differs from the centre; so two can be similar only if these differences overlap
+enough, and then they share an element in the rare part of both (prefix filter,
+rarest first).  No group emits all its pairs, and none is capped.  All
+verification is of whole sets, dealt by centre and salt.
 
 Null and empty texts have an empty set and are linked with nothing.  Repeated
 rows are copies.  A null doc_id takes part as text; its component is that of
@@ -46,7 +52,11 @@ BAND_STEPS = (3, 2)
 #: Cost of a chance meeting, and of an empty segment's signature, against that of a signature, and chance that an element is common.
 MEETING, EMPTY, COMMON = 200.0, 1000.0, 0.05
 #: Spokes of a centre that are verified by one task; so many wanted documents are found by broadcast, more by join.
-SPOKES, BROADCAST_ROWS = 2000, 500_000
+SPOKES, BROADCAST_ROWS = 256, 500_000
+#: Nodes of a centre that one task compares by sketch, and bits of a sketch as a power of two, at most.
+GROUP, SKETCH = 500, 15
+#: Nodes of a signature beyond which those that can do without it do, and bits of the band in a signature.
+HOT, TAG = 100, 4
 
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -63,7 +73,9 @@ class Scheme:
     agreement, one with deletions two; so units of more than ``differ`` make
     sure of an agreement.  Segments empty in both sets agree and say nothing:
     with ``spare`` units more, a set with no more empty segments than that
-    gives no signature for them; a set with more gives them all."""
+    gives no signature for them; a set with more gives them all.  What of the
+    spare units is left then is the set's ``room``: so many more signatures it
+    may do without (see informative())."""
 
     def __init__(self, band: int, percent: int):
         width = (percent / 100) ** -steps(percent)
@@ -105,7 +117,8 @@ class Scheme:
         two = MEETING * _meets(2 * mean) + EMPTY * math.exp(-2 * mean) * (1 + 2 * mean) if n > 2 else 0.0
         return exact * (1 + one) + deleting * (1 + 2 * mean) * (1 + two)
 
-    def signatures(self, h: np.ndarray) -> np.ndarray:
+    def signatures(self, h: np.ndarray) -> tuple[np.ndarray, int]:
+        """The set's signatures, with the band in their last TAG bits, and its room or -1."""
         value = mixed(h ^ self.seed)
         segment = self.units[((value >> np.uint64(33)) % np.uint64(len(self.units))).astype(np.int64)]
         value = mixed(value * _C1)
@@ -116,17 +129,17 @@ class Scheme:
         sums = total[starts[1:]] - total[starts[:-1]]
         place = np.arange(self.segments, dtype=np.uint64) * _C2 + self.seed
         full = starts[1:] > starts[:-1]
-        if 0 <= self.segments - np.count_nonzero(full) <= self.spare:
+        room, kept = self.spare - int(self.segments - np.count_nonzero(full)), place
+        if room >= 0:
             sums, kept = sums[full], place[full]
-        else:
-            kept = place
         out = [mixed(sums ^ kept)]
         if self.deleting:
             inner = segment < self.deleting
             at = segment[inner]
             whole = total[starts[1:]] - total[starts[:-1]]
             out.append(mixed((whole[at] - value[inner]) ^ place[at]))
-        return np.unique(np.concatenate(out))
+        tagged = np.concatenate(out) >> np.uint64(TAG) << np.uint64(TAG) | np.uint64(self.band % (1 << TAG))
+        return np.unique(tagged), max(-1, room)
 
 
 def _meets(mean: float) -> float:
@@ -150,18 +163,39 @@ def schemes(size: int, percent: int) -> tuple[Scheme, ...]:
     return (own, *below)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("twin", pa.int64()), ("sigs", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("twin", pa.int64()), ("sketch", pa.binary()), ("tags", pa.list_(pa.int64())), ("room", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
 _TOLD = pa.schema([("centre", pa.int64()), ("salt", pa.int64()), ("spoke", pa.int64()), ("first", pa.int64()), ("set", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("size", pa.int64()), ("middle", pa.int64()), ("differ", pa.list_(pa.int64()))])
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """For each leading bits of a hash the parity of the number of elements
+    that have them; about as many bits as elements."""
+    bits = min(SKETCH, max(6, (len(h) - 1).bit_length()))
+    odd = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(data: bytes, size: int) -> np.ndarray:
+    """A sketch at a lesser size in bytes: neighbouring parities add up."""
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))
+    if len(bits) > 8 * size:
+        bits = np.bitwise_xor.reduce(bits.reshape(8 * size, -1), axis=1)
+    return np.packbits(bits)
+
+
+def reach(total: int, percent: int) -> int:
+    """Elements in which similar sets of total elements together may differ."""
+    return total * (100 - percent) // (100 + percent)
+
+
 def node_of(h: np.ndarray, seed: int) -> tuple[int, int]:
     data = h.tobytes()
     return int(np.uint64(xxhash.xxh3_64_intdigest(data, 2 * seed)).view(np.int64)), int(np.uint64(xxhash.xxh3_64_intdigest(data, 2 * seed + 1)).view(np.int64))
 
 
 def sets(docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
-    """doc_id, n, node, twin, sigs of every row; an empty set has no node.
+    """doc_id, n, node, twin, sketch, tags, room, sigs of every row; an empty set has no node.
 
     A set that a task has seen before is given without signatures again."""
 
@@ -170,25 +204,26 @@ def sets(docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
         for doc_id, text in rows_of(batches, "doc_id", "text"):
             h = shingles(text, words)
             if not len(h):
-                row = (doc_id, 0, None, None, [])
+                row = (doc_id, 0, None, None, None, [], [], [])
             else:
                 node, twin = node_of(h, seed)
                 if node in seen:
-                    row = (doc_id, len(h), node, twin, [])
+                    row = (doc_id, len(h), node, twin, None, [], [], [])
                 else:
                     if len(seen) < 1_000_000:
                         seen.add(node)
-                    row = (doc_id, len(h), node, twin, np.concatenate([s.signatures(h) for s in schemes(len(h), percent)]).view(np.int64))
-            if out.add(row, 8 * len(row[4])):
+                    given = [(s.band % (1 << TAG), *s.signatures(h)) for s in schemes(len(h), percent)]
+                    row = (doc_id, len(h), node, twin, sketch(h), [g[0] for g in given], [g[2] for g in given], np.concatenate([g[1] for g in given]).view(np.int64))
+            if out.add(row, 8 * len(row[-1])):
                 yield out.take()
         yield from out.rest()
 
-    return docs.mapInArrow(measure, "doc_id long, n long, node long, twin long, sigs array<long>")
+    return docs.mapInArrow(measure, "doc_id long, n long, node long, twin long, sketch binary, tags array<long>, room array<long>, sigs array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, seed: int, whole: bool = False) -> DataFrame:
     """For each pair of nodes (a, a_rep, b, b_rep): whether they are linked,
-    the sizes of a and b, and the elements in which a and b differ."""
+    the sizes of a and b, and, if whole, the elements in which a and b differ."""
     share = pairs.groupBy("b").agg(F.max("b_rep").alias("b_rep"), F.ceil(F.count(F.lit(1)) / SPOKES).cast("long").alias("salts"))
     share = written(share)
     # pairs grouped by spoke, so that a set is computed once and told to each centre
@@ -222,7 +257,8 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, seed:
                 differ = np.setxor1d(spoke, centre, assume_unique=True)
                 union = (len(spoke) + len(centre) + len(differ)) // 2
                 linked = 100 * (union - len(differ)) >= percent * union
-                if out.add((a, b, linked, len(spoke), len(centre), differ.view(np.int64)), 8 * len(differ)):
+                differ = differ.view(np.int64) if whole else []
+                if out.add((a, b, linked, len(spoke), len(centre), differ), 8 * len(differ)):
                     yield out.take()
         yield from out.rest()
 
@@ -231,6 +267,88 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, seed:
     return dealt.mapInArrow(compare, "a long, b long, linked boolean, size long, middle long, differ array<long>")
 
 
+def informative(hit: DataFrame, rows: DataFrame) -> DataFrame:
+    """hit (sig, node) without the signatures of many nodes, at the nodes that
+    can do without: those whose such signatures in a band are within their room.
+
+    Similar sets agree in more segments than spare units.  If empty ones and
+    ones with a signature of many nodes are no more than these in either set, the
+    two also agree in another segment; so that set needs neither kind."""
+    many = written(hit.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("sig"))
+    n = many.count()
+    if not n:
+        return hit
+    side = F.broadcast(many) if n <= BROADCAST_ROWS else many
+    hot = written(hit.join(side, "sig").distinct().withColumn("tag", F.col("sig").bitwiseAND((1 << TAG) - 1)))
+    room = rows.where(F.size("tags") > 0).select("node", F.inline(F.arrays_zip(F.col("tags").alias("tag"), "room"))).distinct()
+    without = hot.groupBy("node", "tag").agg(F.count(F.lit(1)).alias("m")).join(room, ["node", "tag"]).where("m <= room").select("node", "tag")
+    kept = hot.join(without, ["node", "tag"], "left_anti").select("sig", "node")
+    return written(hit.join(side, "sig", "left_anti").select("sig", "node").unionByName(kept))
+
+
+_STAR = pa.schema([("a", pa.int64()), ("a_rep", pa.int64()), ("b", pa.int64()), ("b_rep", pa.int64())])
+_PAIR = "a long, a_rep long, b long, b_rep long"
+
+
+def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, a_rep, b, b_rep) that sizes and sketches don't rule out."""
+    one = known.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("sketch").alias("a_sketch"))
+    two = known.select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("sketch").alias("b_sketch"))
+    fits = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
+    both = pairs.join(one, "a").join(two, "b").where(fits)
+
+    def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(_STAR)
+        for a, a_rep, b, b_rep, r, s, x, y in rows_of(batches, "a", "a_rep", "b", "b_rep", "a_size", "b_size", "a_sketch", "b_sketch"):
+            size = min(len(x), len(y))
+            if int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= reach(r + s, percent) and out.add((a, a_rep, b, b_rep)):
+                yield out.take()
+        yield from out.rest()
+
+    return both.mapInArrow(rule, _PAIR)
+
+
+def within_groups(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of one centre, in different components, that sizes and
+    sketches don't rule out.  pairs: of centres with GROUP nodes at most."""
+    slim = pairs.select("b", "a").join(placed.select(F.col("node").alias("a"), "rep", "size", "comp"), "a")
+    open_ = slim.groupBy("b").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("b")
+    rows = slim.join(open_, "b").join(placed.select(F.col("node").alias("a"), "sketch"), "a")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now, members = Out(_STAR), None, []
+
+        def finish() -> Iterator[tuple]:
+            if len(members) < 2:
+                return
+            size = min(len(m[4]) for m in members)
+            bits = np.stack([folded(m[4], size) for m in members]).view(np.uint64)
+            sizes, comps = np.array([m[2] for m in members]), np.array([m[3] for m in members])
+            for i in range(len(members) - 1):
+                later = slice(i + 1, None)
+                small, large = np.minimum(sizes[i], sizes[later]), np.maximum(sizes[i], sizes[later])
+                may = (comps[later] != comps[i]) & (100 * small >= percent * large)
+                if may.any():
+                    may &= np.bitwise_count(bits[later] ^ bits[i]).sum(1) <= (sizes[later] + sizes[i]) * (100 - percent) // (100 + percent)
+                    for j in np.flatnonzero(may) + i + 1:
+                        yield (*members[i][:2], *members[j][:2])
+
+        for b, a, rep, n, comp, data in rows_of(batches, "b", "a", "rep", "size", "comp", "sketch"):
+            if b != now:
+                for row in finish():
+                    if out.add(row):
+                        yield out.take()
+                now, members = b, []
+            members.append((a, rep, n, comp, data))
+        for row in finish():
+            if out.add(row):
+                yield out.take()
+        yield from out.rest()
+
+    found = rows.select("b", "a", "rep", "size", "comp", "sketch").repartition("b").sortWithinPartitions("b").mapInArrow(compare, _PAIR)
+    return found.distinct()
+
+
 def across(compared: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, a_rep, b, b_rep) of nodes in different components that may be
     linked, among those that share a signature and so a centre."""
@@ -243,9 +361,8 @@ def across(compared: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     near = written(slim.join(F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_, "b"))
     ids = near.select("b", "a")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    # Sets of sizes r and s differ by at most reach(r + s) elements.
-    reach = lambda total: F.floor(total * (100 - percent) / (100 + percent) + 1e-9).cast("long")
-    most = reach(F.col("size") + F.floor(F.col("size") * 100 / percent))
+    within = lambda total: F.floor(total * (100 - percent) / (100 + percent) + 1e-9).cast("long")
+    most = within(F.col("size") + F.floor(F.col("size") * 100 / percent))
     each = compared.join(side, ["b", "a"]).select("b", "a", F.explode("differ").alias("x"))
     rare = each.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Elements that no other node differs in come first of all; they need no
@@ -255,13 +372,13 @@ def across(compared: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     told = told.select("*", F.posexplode("xs").alias("at", "e")).select("b", "a", "rep", "comp", "linked", "size", "d", F.col("e.x").alias("x"), (F.col("alone") + F.col("at") + 1).alias("place")).where(F.col("place") <= F.when(F.col("linked"), F.col("d")).otherwise(most + 1))
     # Little different nodes of which sizes alone may make a link: no shared
     # element is needed where d and d' together are within reach.
-    least = reach(F.ceil(F.col("size") * percent / 100) + F.col("middle")) + 1
+    least = within(F.ceil(F.col("size") * percent / 100) + F.col("middle")) + 1
     slack = near.where(F.when(F.col("linked"), F.col("d") + least <= most).otherwise(F.col("d") <= most)).select("b", "a", "rep", "comp", "linked", "size", "d", F.lit(None).cast("long").alias("x"), F.lit(0).cast("long").alias("place"))
     told = written(told.unionByName(slack))
     # A linked node belongs to its centre's component: of two such nodes no
     # pair is open; so one of a pair is not linked to the centre.
     one, two = told.where("not linked"), told.select(*(F.col(c).alias(f"o_{c}") for c in told.columns))
-    need = F.ceil((F.col("d") + F.col("o_d") - reach(F.col("size") + F.col("o_size"))) / 2)
+    need = F.ceil((F.col("d") + F.col("o_d") - within(F.col("size") + F.col("o_size"))) / 2)
     fits = (F.col("comp") != F.col("o_comp")) & (100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size"))
     once = F.col("o_linked") | (F.col("a") < F.col("o_a"))
     by_element = (F.col("b") == F.col("o_b")) & (F.col("x") == F.col("o_x")) & fits & once & (F.col("place") <= F.col("d") - need + 1) & (F.col("o_place") <= F.col("o_d") - need + 1)
@@ -276,14 +393,14 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0) -> t
     seed: another one is to be taken should two sets have one 64-bit hash."""
     docs = texts(docs)
     rows = written(sets(docs, words, percent, seed))
-    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), (F.min("twin") != F.max("twin")).alias("clash")))
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), (F.min("twin") != F.max("twin")).alias("clash")))
     if nodes.where("clash").limit(1).count():
         raise ValueError("two sets have one hash; take another seed")
     exploded = rows.select("node", F.explode("sigs").alias("sig"))
     popular = written(exploded.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"))
     side = F.broadcast(popular) if popular.count() <= BROADCAST_ROWS else popular
     # A table of its own: what follows by signature combines before it shuffles.
-    hit = written(exploded.join(side, "sig").select("sig", "node"))
+    hit = informative(written(exploded.join(side, "sig").select("sig", "node")), rows)
     # Signatures of the same nodes say the same: one stands for all.  Nodes are
     # told by number, least, greatest and two sums of parts of their hashes,
     # which are null, and then not used, where they overflow.
@@ -291,25 +408,32 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0) -> t
     shared = written(told.groupBy("x", "y", "n", F.coalesce("p", "sig").alias("p"), F.coalesce("q", "sig").alias("q")).agg(F.min("sig").alias("sig"), (F.col("n") * F.count(F.lit(1))).alias("weight")).select("sig", "weight"))
     side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
     met = hit.join(side, "sig").groupBy("node").agg(F.sum("weight").alias("support"), F.collect_set("sig").alias("sigs"))
-    known = written(met.join(nodes.select("node", "rep"), "node"))
+    known = written(met.join(nodes.select("node", "rep", F.col("n").alias("size"), "sketch"), "node"))
     slim = written(rows.select("doc_id", "n", "node"))
     release(rows, popular, hit, shared)
     flat = known.select(F.explode("sigs").alias("sig"), "node", "rep", "support")
     centre = written(flat.groupBy("sig").agg(F.max(F.struct("support", (-F.col("rep")).alias("late"), "node", "rep")).alias("c")).select("sig", F.col("c.node").alias("b"), F.col("c.rep").alias("b_rep")))
-    pairs = flat.join(centre, "sig").where("node != b").select(F.col("node").alias("a"), F.col("rep").alias("a_rep"), "b", "b_rep").distinct()
-    compared = written(verified(docs, written(pairs), words, percent, seed))
-    placed = written(known.select("node", "rep"))
+    pairs = written(flat.join(centre, "sig").where("node != b").select(F.col("node").alias("a"), F.col("rep").alias("a_rep"), "b", "b_rep").distinct())
+    placed = written(known.select("node", "rep", "size", "sketch"))
     release(known, centre)
+    large = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP).select("b"))
+    n_large = large.count()
+    side = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+    few, many = pairs.join(side, "b", "left_anti"), pairs.join(side, "b", "left_semi")
+    near = written(plausible(few, placed, percent))
+    compared = written(verified(docs, near, words, percent, seed))
+    told = written(verified(docs, many, words, percent, seed, whole=True)) if n_large else None
 
     def named(found: DataFrame) -> DataFrame:
         a, b = nodes.select(F.col("node").alias("a"), F.col("rep").alias("a_rep")), nodes.select(F.col("node").alias("b"), F.col("rep").alias("b_rep"))
-        return found.where("linked").join(a, "a").join(b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+        return found.where("linked").select("a", "b").join(a, "a").join(b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
-    linked = written(named(compared))
+    linked = written(named(compared.unionByName(told) if told else compared))
     part = components(linked)
-    placed = placed.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("comp"))
-    rest = written(across(compared, placed, percent))
-    release(compared)
+    placed = written(placed.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", "size", "sketch", F.coalesce("component", "rep").alias("comp")))
+    rest = within_groups(few, placed, percent)
+    rest = written(rest.unionByName(across(told, placed, percent)).distinct() if told else rest)
+    release(pairs, near, compared, placed)
     if rest.limit(1).count():
         more = written(named(verified(docs, rest, words, percent, seed)))
         if more.limit(1).count():
