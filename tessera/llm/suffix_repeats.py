@@ -12,12 +12,11 @@ class that occurs twice are repeats.
 The suffix array.  Classes that share an anchor string but differ make a group.
 The group's anchor suffixes are sorted (a suffix array of these positions) with
 the lengths of the neighbours' common prefixes; a scan with a stack gives the
-tree of common-prefix intervals.  An interval of which members differ in the
-byte before is left-diverse: a maximal repeat, with all its occurrences.  In
-each interval every member gets the longest left extension that it shares with
-any other member; interval depth and left extension together make a repeat of
-MIN bytes or not.  All intervals above a member are looked at, not its
-neighbours alone, so long extensions on either side are found.
+tree of common-prefix intervals.  Inside each interval the same is done for the
+bytes before the anchor, which gives the left-diverse sets of its members: the
+maximal repeats, each with all its members.  All intervals above a member are
+looked at, not its neighbours alone, so long extensions on either side are
+found.  Those of MIN bytes cover what is removed.
 
 Groups of more than GROUP classes, such as the rims of a passage that very many
 documents hold, are not given to one task.  Their contexts are cut into blocks
@@ -54,6 +53,8 @@ GROUP, BLOCK = 1000, 16
 CHUNK = 1 << 19
 #: Rows of ids or anchor hashes that may be broadcast to thin a scan; more are joined.
 BROADCAST_ROWS = 1_000_000
+#: The same for keys of texts, which are longer.
+BROADCAST_KEYS = 200_000
 
 _B = 0x9E3779B97F4A7C15 | 1
 _POSITION = 20
@@ -141,30 +142,42 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, first))
 
 
-def group_repeats(members: list[tuple[bytes, int]], least: int = MIN) -> list[list[tuple[int, int]]]:
+def maximal_repeats(members: list[tuple[bytes, int]], least: int = MIN) -> Iterator[tuple[int, int, list[int]]]:
     """For contexts (bytes, place of the anchor in them) of one anchor string:
-    the spans of each, from its anchor, that are at least least long and shared
-    with another member in the same place."""
+    (left, right, members) of every maximal repeat of least bytes or more around
+    the anchor, with all members that have it.
+
+    The sorted suffixes from the anchor on give the intervals of common right
+    extension.  Inside one, the intervals of common left extension are those
+    whose members differ in the byte before, so each is left-diverse; a group
+    that agrees further to the right belongs to a deeper interval."""
     n = len(members)
     right = [data[a:] for data, a in members]
     left = [data[:a][::-1] for data, a in members]
     order = sorted(range(n), key=right.__getitem__)
     lcp = [shared_prefix(right[a], right[b], 0) for a, b in zip(order, order[1:], strict=False)]
-    by_left = sorted(range(n), key=left.__getitem__)
-    rank = [0] * n
-    for r, m in enumerate(by_left):
+    place, rank = [0] * n, [0] * n
+    for r, m in enumerate(order):
+        place[m] = r
+    for r, m in enumerate(sorted(range(n), key=left.__getitem__)):
         rank[m] = r
-    spans: list[list[tuple[int, int]]] = [[] for _ in members]
     for depth, first, last in intervals(lcp):
-        inside = order[first : last + 1]
-        # Left-extension diversity: where all agree on the byte before, the
-        # repeat goes on to the left, and the extensions below find how far.
-        near = sorted(inside, key=rank.__getitem__)
+        near = sorted(order[first : last + 1], key=rank.__getitem__)
         common = [shared_prefix(left[a], left[b], 0) for a, b in zip(near, near[1:], strict=False)]
-        for i, m in enumerate(near):
-            extension = max(common[i - 1] if i else 0, common[i] if i < len(common) else 0)
+        for extension, low, high in intervals(common):
             if extension + depth >= least:
-                spans[m].append((-extension, depth))
+                group = near[low : high + 1]
+                ends = min(group, key=place.__getitem__), max(group, key=place.__getitem__)
+                if shared_prefix(right[ends[0]], right[ends[1]], 0) == depth:
+                    yield extension, depth, group
+
+
+def group_repeats(members: list[tuple[bytes, int]], least: int = MIN) -> list[list[tuple[int, int]]]:
+    """The spans of each context, from its anchor, that a maximal repeat covers."""
+    spans: list[list[tuple[int, int]]] = [[] for _ in members]
+    for extension, depth, group in maximal_repeats(members, least):
+        for m in group:
+            spans[m].append((-extension, depth))
     return [merged(s) for s in spans]
 
 
@@ -291,8 +304,9 @@ def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP) -
     bytes are, but which are no copies."""
     docs = _numbered(docs)
     rows = written(anchored(docs, least, k))
-    copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    told = written(rows.select("id", "doc_id", "n", "key").join(copies.where("m > 1"), "key", "left").select("id", "doc_id", "n", "key", (F.col("m").isNotNull() & (F.col("n") >= least)).alias("whole")))
+    copies = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    side = F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies
+    told = written(rows.select("id", "doc_id", "n", "key").join(side, "key", "left").select("id", "doc_id", "n", "key", (F.col("m").isNotNull() & (F.col("n") >= least)).alias("whole")))
     flat = rows.select("id", F.inline(F.arrays_zip("h", "e")))
     met = written(flat.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("e") != F.max("e")).alias("mixed")).where("n > 1").select("h", "mixed"))
     side = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
@@ -311,7 +325,7 @@ def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP) -
     hit = each.join(known, ["h", "e"]).select("id", "key", F.when(F.col("from").isNull(), F.array("lo")).otherwise(F.transform("from", lambda x: x + F.col("p"))).alias("from"), F.when(F.col("to").isNull(), F.array(F.col("hi") + least)).otherwise(F.transform("to", lambda x: x + F.col("p"))).alias("to"))
     parts = hit.groupBy("id", "key").agg(F.flatten(F.collect_list("from")).alias("from"), F.flatten(F.collect_list("to")).alias("to"))
     parts = written(parts)
-    release(rows, met, kinds, found, known)
+    release(rows, copies, met, hot, kinds, found, known)
     return told, parts
 
 
