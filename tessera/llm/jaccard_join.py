@@ -398,9 +398,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0) -> t
         raise ValueError("two sets have one hash; take another seed")
     exploded = rows.select("node", F.explode("sigs").alias("sig"))
     popular = written(exploded.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"))
-    side = F.broadcast(popular) if popular.count() <= BROADCAST_ROWS else popular
-    # A table of its own: what follows by signature combines before it shuffles.
-    hit = informative(written(exploded.join(side, "sig").select("sig", "node")), rows)
+    # Joined alike at every size.  A table of its own: what follows by signature
+    # combines before it shuffles.
+    hit = informative(written(exploded.join(popular, "sig").select("sig", "node")), rows)
     # Signatures of the same nodes say the same: one stands for all.  Nodes are
     # told by number, least, greatest and two sums of parts of their hashes,
     # which are null, and then not used, where they overflow.
