@@ -32,8 +32,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 400 bytes that occur elsewhere."""
-    return suffix_repeats.deduplicate(docs)
+    """All documents, without the passages of 400 bytes or of 51 words that occur elsewhere."""
+    return suffix_repeats.deduplicate(docs, words=suffix_repeats.WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,12 +28,17 @@ Texts are UTF-8 bytes, null text is empty.  Equality of classes, blocks and
 whole texts is by hashes of at least 128 bits with their keys.  Texts that occur twice are
 repeated as wholes if they have MIN bytes.  Repeated rows and null doc_ids count
 like others.  An empty table gives no rows.
+
+A passage can also be measured in words: the same search then runs over texts in
+which every word is a code of CODE bytes, its hash, so that WORDS words are as many
+bytes whatever their lengths are and whatever white space parts them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,9 +49,11 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import _shared as shared_prefix
 from .runtime import Out, read, release, rows_of, texts, written
-from .words import mixed
+from .words import mixed, word_hashes
 
 MIN, K = 400, 64
+#: Words of a passage that deduplicate() also takes out, and bytes of a word's code.
+WORDS, CODE = 51, 8
 #: Classes of a group that one task sorts, and windows of a block.
 GROUP, BLOCK = 1000, 16
 #: Bytes of text that are anchored at once.
@@ -196,15 +203,20 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def anchored(docs: DataFrame, least: int, k: int) -> DataFrame:
+def in_words(text: str) -> bytes:
+    """The codes of a text's words, which ASCII white space separates."""
+    return word_hashes(text.encode().split()).tobytes()
+
+
+def anchored(docs: DataFrame, least: int, k: int, coded: Callable[[str], bytes] = str.encode) -> DataFrame:
     """Every row with its classes; key is the SHA-256 of the text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(_DOC, rows=1024)
         for id_, doc_id, text in rows_of(batches, "id", "doc_id", "text"):
-            data = text.encode()
+            data = coded(text)
             found = classes(data, least, k)
-            if out.add((id_, doc_id, len(data), hashlib.sha256(data).hexdigest(), *found), 40 * len(found[0])):
+            if out.add((id_, doc_id, len(data), hashlib.sha256(text.encode()).hexdigest(), *found), 40 * len(found[0])):
                 yield out.take()
         yield from out.rest()
 
@@ -217,7 +229,7 @@ def thinned(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids), column, "left_semi") if ids.count() <= BROADCAST_ROWS else df
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, least: int, k: int) -> DataFrame:
+def contexts(docs: DataFrame, wanted: DataFrame, least: int, k: int, coded: Callable[[str], bytes] = str.encode) -> DataFrame:
     """The context of one occurrence of each wanted class (h, e, c, hot, id)."""
     by_doc = written(wanted.groupBy("id").agg(F.to_json(F.collect_list(F.struct("h", "e", "c", "hot"))).alias("want")))
     need = thinned(docs, by_doc.select("id"), "id").join(by_doc, "id").select("text", "want")
@@ -227,7 +239,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, least: int, k: int) -> DataFram
 
         out = Out(_CONTEXT)
         for text, want in rows_of(batches, "text", "want"):
-            data, left = text.encode(), {(w["h"], w["e"]): w for w in json.loads(want)}
+            data, left = coded(text), {(w["h"], w["e"]): w for w in json.loads(want)}
             h, e, p, lo, hi = classes(data, least, k)
             for key, x, a, b in zip(zip(h.tolist(), e.tolist(), strict=True), p.tolist(), lo.tolist(), hi.tolist(), strict=True):
                 if w := left.pop(key, None):
@@ -298,12 +310,13 @@ def _counted_groups(found: DataFrame, least: int) -> DataFrame:
     return hits.select("h", "e", F.col("at").alias("from"), F.transform("at", lambda x: x + least).alias("to"))
 
 
-def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP, *, coded: Callable[[str], bytes] = str.encode) -> tuple[DataFrame, DataFrame]:
     """(rows, parts).  rows: id, doc_id, n, key, whole (all of it is repeated)
     of every row; parts: id, key, spans (starts, ends) of the rows of which some
-    bytes are, but which are no copies."""
+    bytes are, but which are no copies.  All lengths and places are in bytes of
+    the coded text."""
     docs = _numbered(docs)
-    rows = written(anchored(docs, least, k))
+    rows = written(anchored(docs, least, k, coded))
     copies = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     side = F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies
     told = written(rows.select("id", "doc_id", "n", "key").join(side, "key", "left").select("id", "doc_id", "n", "key", (F.col("m").isNotNull() & (F.col("n") >= least)).alias("whole")))
@@ -315,7 +328,7 @@ def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP) -
     hot = written(kinds.where("mixed").groupBy("h").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > group).select("h", F.lit(True).alias("hot")))
     side = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     wanted = kinds.where("mixed").join(side, "h", "left").select("h", "e", "c", "id", F.coalesce("hot", F.lit(False)).alias("hot"))
-    found = written(contexts(docs, wanted, least, k))
+    found = written(contexts(docs, wanted, least, k, coded))
     spans = _sorted_groups(found.where("not hot"), least)
     if found.where("hot").limit(1).count():
         spans = spans.unionByName(_counted_groups(found.where("hot"), least))
@@ -337,17 +350,27 @@ def _numbered(docs: DataFrame, *more: str) -> DataFrame:
 _CUT = pa.schema([("id", pa.int64()), ("key", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
+def word_spans(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of the words that lie whole in spans of coded words."""
+    at = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", data)]
+    return [(at[-(-a // CODE)][0], at[b // CODE - 1][1]) for a, b in spans]
+
+
 def removed(docs: DataFrame, parts: DataFrame, with_text: bool = False) -> DataFrame:
     """id, key, n_removed, n_spans, kept_sha256 of the rows in parts; with_text
-    adds what is left as text, where a character goes only as a whole."""
+    adds what is left as text, where a character goes only as a whole.  Where
+    parts have them, the columns "from" and "to" of words come on top."""
+    if "words_from" not in parts.columns:
+        parts = parts.withColumns({c: F.array().cast("array<long>") for c in ("words_from", "words_to")})
     docs = _numbered(docs)
     need = thinned(docs, parts.select("id").distinct(), "id").withColumn("key", F.sha2("text", 256)).join(parts, ["id", "key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(_CUT)
-        for id_, key, text, starts, ends in rows_of(batches, "id", "key", "text", "from", "to"):
+        for id_, key, text, starts, ends, first, last in rows_of(batches, "id", "key", "text", "from", "to", "words_from", "words_to"):
             data, at, rest, whole, gone = text.encode(), 0, [], [], 0
-            spans = merged(list(zip(starts, ends, strict=True)))
+            words = word_spans(data, merged(list(zip(first, last, strict=True)))) if first else []
+            spans = merged([*zip(starts, ends, strict=True), *words])
             for a, b in [*spans, (len(data), len(data))]:
                 rest.append(data[at:a])
                 gone += b - a
@@ -366,7 +389,7 @@ def removed(docs: DataFrame, parts: DataFrame, with_text: bool = False) -> DataF
                 yield out.take()
         yield from out.rest()
 
-    made = need.select("id", "key", "text", "from", "to").mapInArrow(cut, _ddl(_CUT))
+    made = need.select("id", "key", "text", "from", "to", "words_from", "words_to").mapInArrow(cut, _ddl(_CUT))
     return made.dropDuplicates(["id", "key"])
 
 
@@ -379,10 +402,13 @@ def dig(docs: DataFrame, least: int = MIN) -> DataFrame:
     return all_.select("doc_id", F.col("n").alias("n_bytes"), F.when(F.col("whole"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(F.col("whole"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(F.col("whole"), empty).otherwise(F.coalesce("kept_sha256", "key")).alias("kept_sha256"))
 
 
-def deduplicate(docs: DataFrame, least: int = MIN) -> DataFrame:
+def deduplicate(docs: DataFrame, least: int = MIN, words: int | None = None) -> DataFrame:
     """docs with repeated bytes taken out of the texts, and n_chars, if it is
-    there, counted anew."""
+    there, counted anew; with words, repeated runs of so many words as well,
+    however short the words are."""
     told, parts = repeats(docs, least)
+    if words:
+        told, parts = _with_words(docs, told, parts, words)
     left = removed(docs, parts, with_text=True).select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("kept").alias("__kept"))
     whole = told.where("whole").select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.lit("").alias("__kept")).distinct()
     changed = written(left.unionByName(whole))
@@ -393,5 +419,17 @@ def deduplicate(docs: DataFrame, least: int = MIN) -> DataFrame:
     return out.select(docs.columns)
 
 
+def _with_words(docs: DataFrame, told: DataFrame, parts: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """told and parts of repeats() by bytes, with those by words."""
+    by_words, more = repeats(docs, words * CODE, coded=in_words)
+    rows = told.select("id", "key", "whole").unionByName(by_words.select("id", "key", "whole"))
+    more = more.withColumnsRenamed({"from": "words_from", "to": "words_to"})
+    none = F.array().cast("array<long>")
+    both = parts.join(more, ["id", "key"], "full").select("id", "key", *(F.coalesce(c, none).alias(c) for c in ("from", "to", "words_from", "words_to")))
+    # A copy goes whole if either search says so, and isn't cut besides.
+    whole = rows.where("whole").select("id", "key").distinct()
+    return rows, written(both.join(whole, ["id", "key"], "left_anti"))
+
+
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dig(read(spark, sf_dir, "documents"))

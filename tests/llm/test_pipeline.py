@@ -1,9 +1,11 @@
+import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 from tessera.llm.runtime import written
 
-from .cases import empty, odd, some
+from .cases import empty, frame, odd, some
 from .test_dedup import near_truth, substring_truth
 from .test_tokens import check_pieces
 
@@ -44,3 +46,32 @@ def test_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, ""))
         assert "sequence_id" in docs.columns
+
+
+def test_repeats_of_short_words(spark):
+    """Passages of 51 words or more go however few bytes they have, and of 50 stay."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
+    run = lambda n: [word() for _ in range(n)]
+    shared = [run(n) for n in (50, 51, 52, 55, 60)] + [[rng.choice("abc") for _ in range(51)]]
+    rows = []
+    for k in range(60):
+        a, b, s = run(rng.randint(0, 30)), run(rng.randint(0, 30)), shared[k % 6]
+        # White space may differ, and the ends of passages may be cut.
+        s = s[rng.choice([0, 0, 1]) : len(s) - rng.choice([0, 0, 2])]
+        rows.append((k, " ".join(a) + " " + rng.choice([" ", "\n", "  "]).join(s) + " " + " ".join(b)))
+    rows += [(100, " ".join(shared[0])), (101, " ".join(shared[1])), (102, " ".join(shared[1])), (103, "x " * 60), (104, None), (105, "")]
+    for given in (rows, [(r.doc_id, r.text) for r in some(spark).collect()]):
+        words = {d: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for d, t in given}
+        seen = Counter(tuple(w[i : i + 51]) for w in words.values() for i in range(len(w) - 50))
+        bytes_too = {r[0] for r in substring_truth(given, 400) if r[2]}
+        got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, frame(spark, given).repartition(4), "").collect()}
+        assert len(got) == len(given)
+        for d, t in given:
+            own = words[d]
+            gone = {j for i in range(len(own) - 50) if seen[tuple(own[i : i + 51])] > 1 for j in range(i, i + 51)}
+            if d not in bytes_too:
+                assert (got[d] or "").encode().split() == [w for j, w in enumerate(own) if j not in gone]
+                assert gone or got[d] == t
+            else:
+                assert len(got[d].encode().split()) <= len(own) - len(gone) + 1
