@@ -5,7 +5,10 @@ source a minimum-covariance-determinant estimate of centre and covariance is
 found by concentration: from coordinate-wise medians and quartiles, the share
 COVER of rows with the smallest Mahalanobis distances is taken again and again
 to re-estimate both.  A row is rejected when its distance, scaled so that the
-median row has the median of a chi-square variable, is beyond the cut.
+median row has the median of a chi-square variable, is beyond the cut.  The
+degrees of freedom are those that the covariance has: the trace of C (C + F)^-1
+for a covariance C and the squared floors F, so a statistic without variance
+adds none.
 
 All estimates are over all rows.  Vectors are fixed-point integers, sums are
 exact decimals, order statistics are exact counts of quantised values; so
@@ -48,8 +51,10 @@ MOST = 1_000.0
 #: Parameters of so many groups are broadcast; of more, joined by salt.
 BROADCAST_GROUPS, SALTS = 20_000, 64
 
-#: Statistic, and the standard deviation that an estimate has at least.
-STATISTICS = [("word_length", 0.5), ("symbols", 0.08), ("punctuation", 0.025), ("upper", 0.05), ("dup_lines", 0.25), ("repeats", 0.25)]
+#: Statistic, and the standard deviation that is added to an estimate.  That of word_length,
+#: punctuation and upper only keeps the matrix regular; the others are 0 in nearly all rows that an
+#: estimate rests on, which then says nothing of their variance, and their floors stand for it.
+STATISTICS = [("word_length", 0.01), ("symbols", 0.05), ("punctuation", 0.0003), ("upper", 0.0003), ("dup_lines", 0.2), ("repeats", 0.2)]
 _D = len(STATISTICS)
 _NAMES = [f"v{k}" for k in range(_D)]
 
@@ -79,10 +84,10 @@ def statistics(text: str) -> tuple[int, ...]:
             repeated = int(np.count_nonzero(np.cumsum(edge[:n])))
     # Short texts are drawn to what is usual, as their shares vary most.
     vector = (
-        (chars + 150) / (n + 30),
+        (chars + 1500) / (n + 300),
         math.sqrt(symbols / (chars + 50)),
-        _count(data, PUNCTUATION) / (chars + 100),
-        _count(data, UPPER) / (chars + 100),
+        (_count(data, PUNCTUATION) + 52) / (chars + 2000),
+        (_count(data, UPPER) + 30) / (chars + 2000),
         math.sqrt(dup / (len(lines) + 5)),
         math.sqrt(repeated / (n + 20)),
     )
@@ -137,9 +142,9 @@ def _distance() -> Column:
 
 
 def _solved(moments: DataFrame) -> DataFrame:
-    """g, c, w from g, n, sums s and sums of products p."""
+    """g, c, w, dof from g, n, sums s and sums of products p."""
     floors = np.array([f for _, f in STATISTICS]) ** 2
-    schema = pa.schema([("g", pa.string()), ("c", pa.list_(pa.float64())), ("w", pa.list_(pa.float64()))])
+    schema = pa.schema([("g", pa.string()), ("c", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())), ("dof", pa.float64())])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(schema)
@@ -152,29 +157,31 @@ def _solved(moments: DataFrame) -> DataFrame:
                     cov[i, j] = cov[j, i] = exact / n / n / UNIT**2
                     k += 1
             whiten = np.linalg.inv(np.linalg.cholesky(cov + np.diag(floors)))
-            if out.add((g, centre, whiten.ravel().tolist())):
+            dof = max(1.0, float(np.trace(whiten @ cov @ whiten.T)))
+            if out.add((g, centre, whiten.ravel().tolist(), dof)):
                 yield out.take()
         yield from out.rest()
 
-    return moments.mapInArrow(solve, "g string, c array<double>, w array<double>")
+    return moments.mapInArrow(solve, "g string, c array<double>, w array<double>, dof double")
 
 
 def _started(rows: DataFrame) -> DataFrame:
-    """g, c, w from medians and quartiles."""
+    """g, c, w, dof from medians and quartiles."""
     # Values of few digits, so that the exact percentiles count few distinct ones.
     coarse = [F.percentile(F.round(F.col(n) / 10) * 10, F.lit([0.25, 0.5, 0.75])).alias(n) for n in _NAMES]
     q = rows.groupBy("g").agg(*coarse)
     centre = F.array(*(F.get(n, 1) / float(UNIT) for n in _NAMES))
     scales = [F.sqrt(F.pow((F.get(n, 2) - F.get(n, 0)) / (1.349 * UNIT), 2) + f * f) for n, (_, f) in zip(_NAMES, STATISTICS, strict=True)]
     whiten = F.array(*(1 / scales[i] if i == j else F.lit(0.0) for i in range(_D) for j in range(_D)))
-    return q.select("g", centre.alias("c"), whiten.alias("w"))
+    return q.select("g", centre.alias("c"), whiten.alias("w"), F.lit(float(_D)).alias("dof"))
 
 
 def estimates(rows: DataFrame, cover: float = COVER, steps: int = STEPS) -> DataFrame:
-    """g, c, w, middle: centre, whitening matrix and median distance of each group."""
+    """g, c, w, dof, middle: centre, whitening matrix, degrees of freedom and median
+    distance of each group."""
     now = written(_started(rows))
     for _ in range(steps):
-        at = _attached(rows, now, "g").withColumn("d", _distance())
+        at = _attached(rows, now.drop("dof"), "g").withColumn("d", _distance())
         edge = at.groupBy("g").agg(F.percentile("d", cover).alias("edge"))
         inner = _attached(at, edge, "g").where(F.col("d") <= F.col("edge"))
         dec = lambda c: c.cast("decimal(38,0)")
@@ -182,13 +189,13 @@ def estimates(rows: DataFrame, cover: float = COVER, steps: int = STEPS) -> Data
         products = F.array(*(F.sum(dec(F.col(_NAMES[i]) * F.col(_NAMES[j]))) for i in range(_D) for j in range(i, _D)))
         moments = inner.groupBy("g").agg(F.count(F.lit(1)).alias("n"), sums.cast("array<string>").alias("s"), products.cast("array<string>").alias("p"))
         now = written(_solved(moments))
-    middle = _attached(rows, now, "g").groupBy("g").agg(F.percentile(_distance(), 0.5).alias("middle"))
+    middle = _attached(rows, now.drop("dof"), "g").groupBy("g").agg(F.percentile(_distance(), 0.5).alias("middle"))
     return written(now.join(middle, "g"))
 
 
-def chi_square(z: float, d: int = _D) -> float:
+def chi_square(z: float, d: float | Column = _D) -> float | Column:
     """The quantile of chi-square with d degrees at normal deviate z, about."""
-    return d * (1 - 2 / (9 * d) + z * math.sqrt(2 / (9 * d))) ** 3
+    return d * (1 - 2 / (9 * d) + z * (2 / (9 * d)) ** 0.5) ** 3
 
 
 def judge(docs: DataFrame, least: int = LEAST, cut: float = CUT) -> DataFrame:
@@ -198,11 +205,12 @@ def judge(docs: DataFrame, least: int = LEAST, cut: float = CUT) -> DataFrame:
     known = estimates(grouped)
     enough = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
     at = _attached(grouped, known.join(enough, "g"), "g").withColumn("d", _distance())
-    # The median row has the median of chi-square, or the floors' if less.
-    scale = F.greatest(F.expm1(F.col("middle") / STEP) / chi_square(0.0), F.lit(1.0))
+    # The median row has the median of chi-square.  The estimate of the inner rows is narrower than all
+    # rows, so this is over 1 unless most rows are alike and there is no variance to scale by.
+    scale = F.greatest(F.expm1(F.col("middle") / STEP) / chi_square(0.0, F.col("dof")), F.lit(1.0))
     distance = F.expm1(F.col("d") / STEP) / scale
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    outlier = F.coalesce(distance > chi_square(cut), F.lit(False))
+    outlier = F.coalesce(distance > chi_square(cut, F.col("dof")), F.lit(False))
     return at.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~outlier).alias("kept"), distance.alias("distance"))
 
 

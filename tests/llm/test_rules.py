@@ -219,3 +219,24 @@ def _numeric_gradient(positive, unlabelled):
             flat[k] = old
             worst = max(worst, abs((values[0] - values[1]) / 2e-5 - g[k]))
     return worst
+
+
+def test_covariance_decides(spark):
+    """The floors of statistics that vary are a small part of their variance, the
+    median isn't held back, and a row that only leaves the others' spread is rejected."""
+    docs = some(spark, sf="0.01")
+    grouped = quality_rules.written(quality_rules._grouped(quality_rules.measured(docs), 200))
+    floors = dict(quality_rules.STATISTICS)
+    for r in quality_rules.estimates(grouped).collect():
+        own = np.linalg.inv(np.reshape(r.w, (6, 6)))
+        variance = np.diag(own @ own.T)
+        for k in (0, 2, 3):
+            assert floors[quality_rules.STATISTICS[k][0]] ** 2 < 0.1 * variance[k]
+        assert 2.5 < r.dof < 4
+        assert np.expm1(r.middle / quality_rules.STEP) / quality_rules.chi_square(0.0, r.dof) > 1
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(3, 8)))
+    rows = [(k, " ".join(word() for _ in range(400)) + ".") for k in range(300)]
+    rows.append((300, " ".join(word().title() if j % 10 == 0 else word() for j in range(400)) + "."))
+    gone = {r.doc_id for r in quality_rules.judge(frame(spark, rows)).collect() if not r.kept}
+    assert 300 in gone and len(gone) < 15
