@@ -1,14 +1,19 @@
 """Licence recognition by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences at line ends and at white space after ".", "!" or
-"?".  A sentence is normalised (lower case, every run of other characters than
-a-z and 0-9 one space, ends trimmed) and mapped to the identifier of a known
-licence sentence.  The identifiers of a document, in order and without unknown
-sentences, are matched against licence rules: a rule is a sequence of
-identifiers that must occur side by side.
-
-Only sentences with a word of ANCHORS are normalised and looked up; every known
-sentence has one, which is checked when rules are compiled, so nothing is lost.
+A text is cut into pieces at line ends and at white space after ".", "!", "?" or
+":".  A piece is normalised (lower case, every run of other characters than a-z
+and 0-9 one space, ends trimmed).  A sentence is a run of pieces, so it may be
+wrapped over lines, with comment marks before them, or have "v. 2.0" in it; no
+run goes over a line without a-z or 0-9.  Runs that are known licence sentences
+are mapped to their identifiers: from left to right, of those that start at one
+piece the longest, and none that overlaps the one before.  The identifiers of a
+document, in order and without unknown sentences, are matched against licence
+rules: a rule is a sequence of identifiers that must occur side by side.
+
+Runs are tried only from pieces that begin a known sentence and up to as many
+pieces as a known sentence has words, in texts with a word of ANCHORS; every
+known sentence has one, which is checked when rules are compiled, so nothing is
+lost.
 
 Null and empty texts, and texts without a known sentence, have no licence.  A
 licence that matches more than once is named once; a repeated row gives a row
@@ -86,6 +91,7 @@ RULES = [
 MOST_SENTENCES = 10_000
 
 _BREAK = r"([.!?])[ \t\x0B\f\r]+"
+_PIECE = r"(?<=[.!?])[ \t\x0B\f\r]+\n?|(?<=:)[ \t\x0B\f\r]+\n?|\n"
 
 
 def normalised(sentence: str) -> str:
@@ -114,20 +120,45 @@ def compiled(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> t
     return {p: k for p, k in ids.items() if p in anchored}, [(licence, "," + "".join(f"{k}," for name in names for k in of[name])) for licence, names in rules]
 
 
-def known_sentences(text: Column, ids: dict[str, int]) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    table = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
+def looked_up(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """compiled(), but with one identifier for each known text as a whole."""
+    compiled(sentences, rules)
+    ids: dict[str, int] = {}
+    of = {name: ids.setdefault(normalised(text), len(ids) + 1) for name, text in sentences.items()}
+    return ids, [(licence, "," + "".join(f"{of[name]}," for name in names)) for licence, names in rules]
+
+
+def cut(text: Column) -> Column:
+    """The normalised pieces of a text that has an anchor, else none."""
     anchors = "(?i)" + "|".join(re.escape(a).replace(r"\ ", "[^a-z0-9]+") for a in ANCHORS)
-    cut = F.split(F.regexp_replace(text, _BREAK, "$1\n"), "\n")
-    likely = F.when(text.rlike(anchors), F.filter(cut, lambda s: s.rlike(anchors))).otherwise(F.array().cast("array<string>"))
-    plain = F.transform(likely, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(table, s)), lambda k: k.isNotNull())
+    plain = F.transform(F.split(text, _PIECE), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    return F.when(text.rlike(anchors), plain).otherwise(F.array().cast("array<string>"))
+
+
+def known_sentences(pieces: Column, ids: dict[str, int]) -> Column:
+    """Identifiers of the known sentences among pieces, in order."""
+    table = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
+    words = [s.split(" ") for s in ids]
+    begins = sorted({" ".join(w[:k]) for w in words for k in range(1, len(w) + 1)})
+    most, none = max(map(len, words)), F.array().cast("array<int>")
+    starts = F.filter(F.transform(pieces, lambda s, i: F.when(s.isin(begins), i + 1)), lambda i: i.isNotNull())
+
+    def longest(i: Column) -> Column:
+        """at, past, id of the longest known run from piece i, or null."""
+        sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.size(pieces) - i + 1))
+        runs = F.transform(sizes, lambda n: F.struct(i.alias("at"), (i + n).alias("past"), F.try_element_at(table, F.array_join(F.slice(pieces, i, n), " ")).alias("id")))
+        return F.try_element_at(F.filter(runs, lambda r: r["id"].isNotNull()), F.lit(-1))
+
+    hits = F.filter(F.transform(starts, longest), lambda r: r.isNotNull())
+    first = F.struct(F.lit(0).alias("past"), none.alias("ids"))
+    after = lambda a, r: F.when(r["at"] < a["past"], a).otherwise(F.struct(r["past"].alias("past"), F.concat(a["ids"], F.array(r["id"])).alias("ids")))
+    return F.aggregate(hits, first, after, lambda a: a["ids"])
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """doc_id, n_sentences (known ones), licenses (sorted, comma-separated, else empty)."""
-    ids, sequences = compiled(sentences or SENTENCES, rules or RULES)
-    found = texts(docs).select("doc_id", known_sentences(F.col("text"), ids).alias("known"))
+    ids, sequences = looked_up(sentences or SENTENCES, rules or RULES)
+    found = texts(docs).select("doc_id", cut(F.col("text")).alias("pieces")).select("doc_id", known_sentences(F.col("pieces"), ids).alias("known"))
     line = F.concat(F.lit(","), F.array_join(F.col("known").cast("array<string>"), ","), F.lit(","))
     hits = F.array(*(F.when(F.contains(F.col("line"), F.lit(s)), F.lit(licence)) for licence, s in sequences))
     named = F.when(F.size("known") > 0, F.array_join(F.array_sort(F.array_distinct(F.array_compact(hits))), ",")).otherwise("")
