@@ -89,6 +89,7 @@ def test_wrapped_licenses(spark):
     apache = f"# Copyright 2020 Some One\n#\n{wrap(s['apache-header'] + ' ' + s['apache-copy'], '# ')}\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n{wrap(s['apache-as-is'] + ' ' + s['apache-see'], '# ')}\n\nimport os\n"
     bsd = "/*\n * Copyright.\n * All rights reserved.\n *\n" + "\n".join([wrap(s["bsd-grant"], " * "), " *", wrap("1. " + s["bsd-source"], " * "), wrap("2. " + s["bsd-binary"], " *    "), wrap("3. " + s["bsd-endorse"], " * ")]) + "\n */\nint main;"
     gpl = "frob - frobs things\n" + wrap(" ".join([s["gpl2-free"], s["gpl-warranty"], s["gpl-details"]]), "// ", 60)
+    mpl = s["mpl-notice"]
     texts = {
         1: mit,
         2: mit.replace("\n", "\r\n"),
@@ -96,13 +97,16 @@ def test_wrapped_licenses(spark):
         4: bsd,
         5: gpl,
         6: wrap(s["isc-grant"], "; ", 40),
+        7: wrap(mpl, "-- ", 30),
+        8: mpl.replace("2.0", "1.1"),
+        9: mpl,
         10: mit.replace("to deal in", "to trade in"),
         11: mit.replace("Permission is hereby", "Permission is\n\nhereby"),
         12: " ".join([s["bsd-grant"], "1.", s["bsd-source"], "2.", s["bsd-binary"]]),
         13: "Released under the MIT License\nLicensed under CC BY 4.0\nother words",
     }
     got = {r.doc_id: (r.licenses, r.n_sentences) for r in license_rules.scan(frame(spark, list(texts.items()))).collect()}
-    assert got == {1: ("MIT", 4), 2: ("MIT", 4), 3: ("Apache-2.0", 4), 4: ("BSD-2-Clause,BSD-3-Clause", 4), 5: ("GPL-2.0", 3), 6: ("ISC", 1), 10: ("", 3), 11: ("", 3), 12: ("BSD-2-Clause", 3), 13: ("CC-BY-4.0,MIT", 2)}
+    assert got == {1: ("MIT", 4), 2: ("MIT", 4), 3: ("Apache-2.0", 4), 4: ("BSD-2-Clause,BSD-3-Clause", 4), 5: ("GPL-2.0", 3), 6: ("ISC", 1), 7: ("MPL-2.0", 1), 8: ("", 0), 9: ("MPL-2.0", 1), 10: ("", 3), 11: ("", 3), 12: ("BSD-2-Clause", 3), 13: ("CC-BY-4.0,MIT", 2)}
 
 
 # Quality rules
