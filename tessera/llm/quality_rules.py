@@ -58,7 +58,7 @@ STATISTICS = [("word_length", 0.01), ("symbols", 0.05), ("punctuation", 0.0003),
 _D = len(STATISTICS)
 _NAMES = [f"v{k}" for k in range(_D)]
 
-_COUNTS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string())] + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *_NAMES)])
+_COUNTS = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("lang", pa.string()), ("source", pa.string())] + [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *_NAMES)])
 
 
 def _count(data: bytes, chars: bytes) -> int:
@@ -94,19 +94,25 @@ def statistics(text: str) -> tuple[int, ...]:
     return (n, chars, symbols, dup, repeated, *(round(min(x, MOST) * UNIT) for x in vector))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the statistics of every row."""
+def _groups(docs: DataFrame) -> list[Column]:
+    """lang and source, which are null where docs don't have them."""
+    return [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
+
+
+def measured(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, key (the SHA-256 of the text, if keyed), lang, source and the
+    statistics of every row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(_COUNTS)
-        for doc_id, text, lang, source in rows_of(batches, "doc_id", "text", "lang", "source"):
-            if out.add((doc_id, lang, source, *statistics(text))):
+        for doc_id, text, key, lang, source in rows_of(batches, "doc_id", "text", "key", "lang", "source"):
+            if out.add((doc_id, key, lang, source, *statistics(text))):
                 yield out.take()
         yield from out.rest()
 
-    more = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
+    key = F.sha2(F.coalesce("text", F.lit("")), 256) if keyed else F.lit(None).cast("string")
     kinds = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in _COUNTS)
-    return texts(docs, *more).mapInArrow(count, kinds)
+    return texts(docs, key.alias("key"), *_groups(docs)).mapInArrow(count, kinds)
 
 
 def _grouped(rows: DataFrame, least: int) -> DataFrame:
@@ -200,7 +206,12 @@ def chi_square(z: float, d: float | Column = _D) -> float | Column:
 
 def judge(docs: DataFrame, least: int = LEAST, cut: float = CUT) -> DataFrame:
     """The statistics, distance and verdict of every row."""
-    rows = written(measured(docs))
+    return _judged(docs, least, cut).drop("key", "lang", "source")
+
+
+def _judged(docs: DataFrame, least: int = LEAST, cut: float = CUT, keyed: bool = False) -> DataFrame:
+    """judge() with key, lang and source."""
+    rows = written(measured(docs, keyed))
     grouped = written(_grouped(rows, least))
     known = estimates(grouped)
     enough = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
@@ -211,13 +222,18 @@ def judge(docs: DataFrame, least: int = LEAST, cut: float = CUT) -> DataFrame:
     distance = F.expm1(F.col("d") / STEP) / scale
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     outlier = F.coalesce(distance > chi_square(cut, F.col("dof")), F.lit(False))
-    return at.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~outlier).alias("kept"), distance.alias("distance"))
+    return at.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~outlier).alias("kept"), distance.alias("distance"), "key", "lang", "source")
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept."""
-    gone = judge(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti").select(docs.columns)
+    """The rows of docs that are kept.  Rows are told by doc_id, text, lang and
+    source, as the verdict follows from the last three; null ids are ids."""
+    names = ["doc_id", "key", "lang", "source"]
+    gone = _judged(docs, keyed=True).where(~F.col("kept")).select(*(F.col(c).alias(f"__gone_{c}") for c in names)).distinct()
+    own = [F.col("doc_id").cast("long"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), *_groups(docs)]
+    keyed = docs.withColumns({f"__own_{c}": x for c, x in zip(names, own, strict=True)})
+    same = [F.col(f"__own_{c}").eqNullSafe(F.col(f"__gone_{c}")) for c in names]
+    return keyed.join(gone, same, "left_anti").select(docs.columns)
 
 
 def op8_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,14 @@ def test_clean_documents_stay(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
 
 
+def test_filtered_tells_rows_of_one_id(spark):
+    """A rejected row takes no other text with it that has its id, or none."""
+    good = [" ".join(f"word{j}{k}" for j in range(30)) for k in range(4)]
+    rows = [(None, good[0]), (None, "too few"), (None, None), (1, good[1]), (1, "too few"), (2, good[2]), (2, good[2]), (3, good[0]), (None, good[3])]
+    kept = [tuple(r) for r in quality_rules.filtered(frame(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted((r for r in rows if r[1] and r[1] != "too few"), key=repr)
+
+
 # Scores
 
 
