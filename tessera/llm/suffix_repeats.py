@@ -19,10 +19,13 @@ looked at, not its neighbours alone, so long extensions on either side are
 found.  Those of MIN bytes cover what is removed.
 
 Groups of more than GROUP classes, such as the rims of a passage that very many
-documents hold, are not given to one task.  Their contexts are cut into blocks
-of BLOCK windows; blocks whose common bytes differ are told apart by a hash,
-equal blocks are resolved together, and windows of the remaining blocks are
-counted by hash.  These counts combine before the shuffle.
+documents hold, are not given to one task: their part of the suffix array is
+split on longer prefixes.  Windows are dealt into blocks of neighbouring places;
+the windows of a block have their middle in common, so members that agree in one
+agree in that middle, which becomes the anchor of a group of its own.  Equal
+members are collapsed (counted by hash, which combines before the shuffle), and
+each such group has its own tree; one that is still too large is split again by
+smaller blocks, in the end single windows, where members agree wholly.
 
 Texts are UTF-8 bytes, null text is empty.  Equality of classes, blocks and
 whole texts is by hashes of at least 128 bits with their keys.  Texts that occur twice are
@@ -32,6 +35,10 @@ like others.  An empty table gives no rows.
 A passage can also be measured in words: the same search then runs over texts in
 which every word is a code of CODE bytes, its hash, so that WORDS words are as many
 bytes whatever their lengths are and whatever white space parts them.
+
+dig() gives what is removed of each row, deduplicate() the rows with what is
+left of their texts, and repeat_groups() the maximal repeats themselves with all
+the places where they occur.
 """
 
 from __future__ import annotations
@@ -54,13 +61,13 @@ from .words import mixed, word_hashes
 MIN, K = 400, 64
 #: Words of a passage that deduplicate() also takes out, and bytes of a word's code.
 WORDS, CODE = 51, 8
-#: Classes of a group that one task sorts, and windows of a block.
-GROUP, BLOCK = 1000, 16
+#: Classes of a group that one task sorts, and places of a block by which larger ones are split, again and again.
+GROUP, BLOCKS = 250, (16, 4, 1)
 #: Bytes of text that are anchored at once.
 CHUNK = 1 << 19
-#: Rows of ids or anchor hashes that may be broadcast to thin a scan; more are joined.
+#: Ids that may be broadcast to thin a scan (8 MB of them); more are joined.
 BROADCAST_ROWS = 1_000_000
-#: The same for keys of texts, which are longer.
+#: The same for keys of texts, which are longer (13 MB).
 BROADCAST_KEYS = 200_000
 
 _B = 0x9E3779B97F4A7C15 | 1
@@ -191,7 +198,9 @@ def group_repeats(members: list[tuple[bytes, int]], least: int = MIN) -> list[li
 _DOC = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("h", pa.list_(pa.int64())), ("e", pa.list_(pa.int64())), ("p", pa.list_(pa.int64())), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64()))])
 _CONTEXT = pa.schema([("h", pa.int64()), ("e", pa.int64()), ("c", pa.int64()), ("hot", pa.bool_()), ("at", pa.int64()), ("data", pa.binary())])
 _SPANS = pa.schema([("h", pa.int64()), ("e", pa.int64()), ("from", pa.list_(pa.int64())), ("to", pa.list_(pa.int64()))])
-_BLOCK = pa.schema([("h", pa.int64()), ("e", pa.int64()), ("c", pa.int64()), ("b", pa.int64()), ("core", pa.int64()), ("blk", pa.int64()), ("r", pa.int64()), ("w", pa.list_(pa.int64()))])
+_PIECE = pa.schema([("h", pa.int64()), ("e", pa.int64()), ("c", pa.int64()), ("g", pa.int64()), ("f", pa.int64()), ("r", pa.int64()), ("size", pa.int64()), ("shift", pa.int64())])
+_MEMBER = pa.schema([("h", pa.int64()), ("e", pa.int64()), ("c", pa.int64()), ("at", pa.int64()), ("data", pa.binary())])
+_REPEAT = pa.schema([("h", pa.int64()), ("e", pa.int64()), ("repeat", pa.string()), ("before", pa.int64()), ("length", pa.int64())])
 _KINDS = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
 
 
@@ -250,18 +259,18 @@ def contexts(docs: DataFrame, wanted: DataFrame, least: int, k: int, coded: Call
     return need.mapInArrow(cut, _ddl(_CONTEXT))
 
 
-def _sorted_groups(found: DataFrame, least: int) -> DataFrame:
-    """Spans of the classes of groups that one task can sort."""
+def _by_group(found: DataFrame, each: Callable[[list[tuple[bytes, int]]], Iterator[tuple[int, tuple]]], schema: pa.Schema) -> DataFrame:
+    """h, e and what each() says of the members (number, values) of every group h
+    that has two or more classes; found: h, e, c, at, data."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, now, members = Out(_SPANS), None, {}
+        out, now, members = Out(schema), None, {}
 
         def finish() -> Iterator[tuple]:
             if len(members) > 1:
-                spans = group_repeats([(data, at) for _, at, data in members.values()], least)
-                for (e, (c, _, _)), own in zip(members.items(), spans, strict=True):
-                    if own and c == 1:
-                        yield now, e, [a for a, _ in own], [b for _, b in own]
+                names, held = list(members), list(members.values())
+                for m, values in each(held):
+                    yield now, names[m], *values
 
         for h, e, c, at, data in rows_of(batches, "h", "e", "c", "at", "data"):
             if h != now:
@@ -269,45 +278,143 @@ def _sorted_groups(found: DataFrame, least: int) -> DataFrame:
                     if out.add(row):
                         yield out.take()
                 now, members = h, {}
-            members[e] = (c, at, data)
+            members[e] = (data, at, c)
         for row in finish():
-            out.add(row)
+            if out.add(row):
+                yield out.take()
         yield from out.rest()
 
-    return found.repartition("h").sortWithinPartitions("h").mapInArrow(scan, _ddl(_SPANS))
+    return found.select("h", "e", "c", "at", "data").repartition("h").sortWithinPartitions("h").mapInArrow(scan, _ddl(schema))
 
 
-def _counted_groups(found: DataFrame, least: int) -> DataFrame:
-    """Spans of the classes of larger groups, by blocks and windows."""
+def _sorted_groups(found: DataFrame, least: int) -> DataFrame:
+    """Spans of the classes of groups that one task can sort."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(_BLOCK, rows=8192)
+    def covered(members: list[tuple]) -> Iterator[tuple[int, tuple]]:
+        for m, own in enumerate(group_repeats([x[:2] for x in members], least)):
+            if own and members[m][2] == 1:
+                yield m, ([a for a, _ in own], [b for _, b in own])
+
+    return _by_group(found, covered, _SPANS)
+
+
+def _named_groups(found: DataFrame, least: int) -> DataFrame:
+    """h, e, repeat, before, length: every maximal repeat of the groups that one
+    task can sort, once for each class that has it, begun so far before the anchor."""
+
+    def named(members: list[tuple]) -> Iterator[tuple[int, tuple]]:
+        for before, depth, group in maximal_repeats([x[:2] for x in members], least):
+            data, at, _ = members[group[0]]
+            name = xxhash.xxh3_128_hexdigest(data[at - before : at + depth])
+            for m in group:
+                yield m, (name, before, before + depth)
+
+    return _by_group(found, named, _REPEAT)
+
+
+def _blocks(h: int, at: int, data: bytes, least: int, block: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(g, f, r, size, shift, bytes) of each block of a context's windows: the
+    group by the middle that its windows share, the kind by all its bytes, the
+    first window's place and the windows' number, and where the middle begins."""
+    first, last = -at, len(data) - least - at  # windows, from the anchor
+    for b in range(first // block, last // block + 1):
+        r1, r2, shift = max(first, b * block), min(last, b * block + block - 1), b * block + block - 1
+        own = data[r1 + at : r2 + at + least]
+        g = xxhash.xxh3_64_intdigest(data[shift + at : b * block + least + at], (h ^ b * _B) & (1 << 64) - 1)
+        yield _signed(g), _signed(xxhash.xxh3_64_intdigest(own, shift - r1)), r1, r2 - r1 + 1, shift, own
+
+
+def split_groups(found: DataFrame, least: int, group: int, blocks: tuple[int, ...], solve: Callable[[DataFrame, int], DataFrame] = _sorted_groups) -> tuple[DataFrame, DataFrame]:
+    """Groups too large for one task, split on longer prefixes.
+
+    found: h, e, c, at, data.  Returns pieces (h, e, c, g, f, r, size, shift, n:
+    rows of this kind) and what solve() says of the kinds (h: g, e: f) of the
+    groups of pieces; at the last block size all members of a group are equal."""
+    block, *smaller = blocks
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(_PIECE, rows=8192)
         for h, e, c, at, data in rows_of(batches, "h", "e", "c", "at", "data"):
-            first, last = -at, len(data) - least - at  # windows, from the anchor
-            for b in range(first // BLOCK, last // BLOCK + 1):
-                r1, r2 = max(first, b * BLOCK), min(last, b * BLOCK + BLOCK - 1)
-                core = data[b * BLOCK + BLOCK - 1 + at : b * BLOCK + least + at]
-                whole = data[r1 + at : r2 + at + least]
-                windows = [_signed(xxhash.xxh3_64_intdigest(data[r + at : r + at + least])) for r in range(r1, r2 + 1)]
-                row = (h, e, c, b, _signed(xxhash.xxh3_64_intdigest(core)), _signed(xxhash.xxh3_64_intdigest(whole, (r1 - first // BLOCK * BLOCK) << 8 | r2 - r1)), r1, windows)
-                if out.add(row, 128):
+            for g, f, r, size, shift, _ in _blocks(h, at, data, least, block):
+                if out.add((h, e, c, g, f, r, size, shift)):
                     yield out.take()
         yield from out.rest()
 
-    key = ["h", "b", "core", "blk", "r"]
-    blocks = written(found.drop("hot").mapInArrow(cut, _ddl(_BLOCK)))
-    kinds = written(blocks.groupBy(*key, F.size("w").alias("size")).agg(F.sum("c").alias("n"), F.min("e").alias("e")))
-    repeated = kinds.where("n > 1").select(*key, F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.col("r") + i).alias("at"))
-    # Where kinds of block share their common bytes, windows of one kind may be
-    # in another: each kind's windows are counted as often as the kind occurs.
-    open_ = kinds.groupBy("h", "b", "core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    one = blocks.join(kinds.select(*key, "e", "n"), [*key, "e"]).join(open_, ["h", "b", "core"])
-    windows = one.select("h", "core", "b", "blk", "r", "n", F.posexplode("w").alias("i", "x")).withColumn("place", F.col("r") + F.col("i"))
-    times = windows.groupBy("h", "place", "x").agg(F.sum("n").alias("times")).where("times > 1")
-    single = windows.where("n = 1").join(times, ["h", "place", "x"]).groupBy(*key).agg(F.collect_list("place").alias("at"))
-    result = repeated.unionByName(single.select(*key, "at"))
-    hits = blocks.where("c = 1").select(*key, "e").join(result, key).groupBy("h", "e").agg(F.flatten(F.collect_list("at")).alias("at"))
-    return hits.select("h", "e", F.col("at").alias("from"), F.transform("at", lambda x: x + least).alias("to"))
+    pieces = written(found.select("h", "e", "c", "at", "data").mapInArrow(hashes, _ddl(_PIECE)))
+    kinds = written(pieces.groupBy("g", "f").agg(F.sum("c").alias("n"), F.min(F.struct("h", "e")).alias("of")))
+    open_ = written(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    # The bytes of one member of each kind that can share windows with another.
+    wanted = kinds.join(open_, "g").groupBy("of.h", "of.e").agg(F.collect_list(F.struct("g", "f", "n", (F.col("kinds") > group).alias("hot"))).alias("want"))
+    need = found.select("h", "e", "at", "data").join(wanted.select("h", "e", F.to_json("want").alias("want")), ["h", "e"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
+        out = Out(pa.schema([*_MEMBER, ("hot", pa.bool_())]))
+        for h, at, data, want in rows_of(batches, "h", "at", "data", "want"):
+            left = {(w["g"], w["f"]): w for w in json.loads(want)}
+            for g, f, r, _, shift, own in _blocks(h, at, data, least, block):
+                if w := left.pop((g, f), None):
+                    if out.add((g, f, w["n"], shift - r, own, w["hot"]), len(own)):
+                        yield out.take()
+        yield from out.rest()
+
+    members = written(need.mapInArrow(cut, f"{_ddl(_MEMBER)}, hot boolean"))
+    told = solve(members.where("not hot"), least)
+    if smaller and members.where("hot").limit(1).count():
+        told = told.unionByName(_rejoined(*split_groups(members.where("hot"), least, group, tuple(smaller), solve), least, solve))
+    return pieces.join(kinds.select("g", "f", "n"), ["g", "f"]), told
+
+
+def _rejoined(pieces: DataFrame, told: DataFrame, least: int, solve: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """What is told of pieces, in terms of the classes they were cut from."""
+    whole, some = pieces.where("n > 1"), pieces.join(told.withColumnsRenamed({"h": "g", "e": "f"}), ["g", "f"])
+    if solve is _named_groups:
+        some = some.select("h", "e", "repeat", (F.col("before") - F.col("shift")).alias("before"), "length")
+        name = F.concat_ws(":", F.hex("g"), F.hex("f"))
+        whole = _unless_told(whole.withColumn("length", F.col("size") - 1 + least), told.withColumnsRenamed({"h": "g", "e": "f"}), ["g", "f"])
+        return some.unionByName(whole.select("h", "e", name.alias("repeat"), (-F.col("r")).alias("before"), "length"))
+    once = F.col("c") == 1
+    moved = some.where(once).select("h", "e", *(F.transform(c, lambda x: x + F.col("shift")).alias(c) for c in ("from", "to")))
+    all_ = moved.unionByName(whole.where(once).select("h", "e", F.array("r").alias("from"), F.array(F.col("r") + F.col("size") - 1 + least).alias("to")))
+    return all_.groupBy("h", "e").agg(F.flatten(F.collect_list("from")).alias("from"), F.flatten(F.collect_list("to")).alias("to"))
+
+
+def _unless_told(whole: DataFrame, told: DataFrame, key: list[str]) -> DataFrame:
+    """Classes that are repeats as wholes, but for those of which a tree has said
+    so, with more members."""
+    longest = told.groupBy(*key).agg(F.max("length").alias("longest"))
+    return whole.join(longest, key, "left").where(F.coalesce(F.col("longest") < F.col("length"), F.lit(True)))
+
+
+def _solved(found: DataFrame, least: int, group: int, solve: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """solve() for all groups, the large ones (hot) split first."""
+    told = solve(found.where("not hot"), least)
+    if found.where("hot").limit(1).count():
+        told = told.unionByName(_rejoined(*split_groups(found.where("hot"), least, group, BLOCKS, solve), least, solve))
+    return told
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """h, e, mixed, c, id: the classes of anchors that occur twice; mixed where the
+    anchor has several classes, c rows of the class, and one of their ids."""
+    flat = rows.select("id", F.inline(F.arrays_zip("h", "e")))
+    met = written(flat.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("e") != F.max("e")).alias("mixed")).where("n > 1").select("h", "mixed"))
+    # Joined alike at every size, as these grow with the corpus.
+    kinds = written(flat.join(met, "h").groupBy("h", "e", "mixed").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")))
+    release(met)
+    return kinds
+
+
+def _found(docs: DataFrame, kinds: DataFrame, least: int, k: int, group: int, coded: Callable[[str], bytes]) -> DataFrame:
+    """The contexts of classes that share an anchor with others; hot: too many for one task."""
+    # Such groups are few; classes don't meet by h to learn it.
+    hot = written(kinds.where("mixed").groupBy("h").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > group).select("h", F.lit(True).alias("hot")))
+    side = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    wanted = kinds.where("mixed").join(side, "h", "left").select("h", "e", "c", "id", F.coalesce("hot", F.lit(False)).alias("hot"))
+    found = written(contexts(docs, wanted, least, k, coded))
+    release(hot)
+    return found
 
 
 def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP, *, coded: Callable[[str], bytes] = str.encode) -> tuple[DataFrame, DataFrame]:
@@ -320,28 +427,41 @@ def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP, *
     copies = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     side = F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies
     told = written(rows.select("id", "doc_id", "n", "key").join(side, "key", "left").select("id", "doc_id", "n", "key", (F.col("m").isNotNull() & (F.col("n") >= least)).alias("whole")))
-    flat = rows.select("id", F.inline(F.arrays_zip("h", "e")))
-    met = written(flat.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("e") != F.max("e")).alias("mixed")).where("n > 1").select("h", "mixed"))
-    side = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
-    kinds = written(flat.join(side, "h").groupBy("h", "e", "mixed").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")))
-    # Groups too large for a task are few; classes don't meet by h to learn it.
-    hot = written(kinds.where("mixed").groupBy("h").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > group).select("h", F.lit(True).alias("hot")))
-    side = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
-    wanted = kinds.where("mixed").join(side, "h", "left").select("h", "e", "c", "id", F.coalesce("hot", F.lit(False)).alias("hot"))
-    found = written(contexts(docs, wanted, least, k, coded))
-    spans = _sorted_groups(found.where("not hot"), least)
-    if found.where("hot").limit(1).count():
-        spans = spans.unionByName(_counted_groups(found.where("hot"), least))
+    kinds = _met(rows)
+    found = _found(docs, kinds, least, k, group, coded)
+    spans = _solved(found, least, group, _sorted_groups)
     known = written(spans.unionByName(kinds.where("c > 1").select("h", "e", F.lit(None).cast("array<long>").alias("from"), F.lit(None).cast("array<long>").alias("to"))))
     some = rows.join(told.where("not whole").select("id", "key"), ["id", "key"], "left_semi").where(F.size("h") > 0)
     each = some.select("id", "key", F.inline(F.arrays_zip("h", "e", "p", "lo", "hi")))
     hit = each.join(known, ["h", "e"]).select("id", "key", F.when(F.col("from").isNull(), F.array("lo")).otherwise(F.transform("from", lambda x: x + F.col("p"))).alias("from"), F.when(F.col("to").isNull(), F.array(F.col("hi") + least)).otherwise(F.transform("to", lambda x: x + F.col("p"))).alias("to"))
     parts = hit.groupBy("id", "key").agg(F.flatten(F.collect_list("from")).alias("from"), F.flatten(F.collect_list("to")).alias("to"))
     parts = written(parts)
-    release(rows, copies, met, hot, kinds, found, known)
+    release(rows, copies, kinds, found, known)
     return told, parts
 
 
+def repeat_groups(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP) -> DataFrame:
+    """repeat, length, doc_id, start: the maximal repeats of least bytes or more
+    and every place where each occurs.
+
+    A repeat is maximal within its anchor's context (in a group that was split:
+    within a block); one that is longer is given as several that overlap, one for
+    each anchor in it.  A class that occurs twice is a repeat of its whole
+    context.  Each is named by its bytes' hash, or by its class's."""
+    docs = _numbered(docs)
+    rows = written(anchored(docs, least, k))
+    kinds = _met(rows)
+    found = _found(docs, kinds, least, k, group, str.encode)
+    told = _solved(found, least, group, _named_groups)
+    at = rows.select("doc_id", F.inline(F.arrays_zip("h", "e", "p", "lo", "hi")))
+    some = at.join(told, ["h", "e"]).select("repeat", "length", "doc_id", (F.col("p") - F.col("before")).alias("start"))
+    # In a group that was split the blocks of such a class are told.
+    twice = kinds.where("c > 1").select("h", "e").join(found.where("hot").select("h", "e"), ["h", "e"], "left_anti")
+    whole = _unless_told(at.join(twice, ["h", "e"]).withColumn("length", F.col("hi") - F.col("lo") + least), told, ["h", "e"])
+    whole = whole.select(F.concat_ws(":", F.hex("h"), F.hex("e")).alias("repeat"), "length", "doc_id", F.col("lo").alias("start"))
+    return some.unionByName(whole).distinct()
+
+
 def _numbered(docs: DataFrame, *more: str) -> DataFrame:
     """A null doc_id counts as the least number among ids."""
     return texts(docs, *more).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
@@ -393,13 +513,36 @@ def removed(docs: DataFrame, parts: DataFrame, with_text: bool = False) -> DataF
     return made.dropDuplicates(["id", "key"])
 
 
-def dig(docs: DataFrame, least: int = MIN) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+def dig(docs: DataFrame, least: int = MIN, words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with words
+    also n_passage_words: its words that lie in runs of so many words which also
+    start elsewhere, however few bytes these have.  What is removed goes by bytes
+    alone."""
     told, parts = repeats(docs, least)
     made = written(removed(docs, parts).drop("kept"))
-    all_ = told.join(made, ["id", "key"], "left")
-    empty = hashlib.sha256(b"").hexdigest()
-    return all_.select("doc_id", F.col("n").alias("n_bytes"), F.when(F.col("whole"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(F.col("whole"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(F.col("whole"), empty).otherwise(F.coalesce("kept_sha256", "key")).alias("kept_sha256"))
+    all_, empty = told.join(made, ["id", "key"], "left"), hashlib.sha256(b"").hexdigest()
+    out = all_.select("id", "key", "doc_id", F.col("n").alias("n_bytes"), F.when(F.col("whole"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(F.col("whole"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(F.col("whole"), empty).otherwise(F.coalesce("kept_sha256", "key")).alias("kept_sha256"))
+    if not words:
+        return out.drop("id", "key")
+    runs, more = repeats(docs, words * CODE, coded=in_words)
+    counted = runs.where("whole").select("id", "key", F.expr(f"n div {CODE}").alias("n_passage_words")).distinct()
+    counted = written(counted.unionByName(_passage_words(more)))
+    return out.join(counted, ["id", "key"], "left").withColumn("n_passage_words", F.coalesce("n_passage_words", F.lit(0)).cast("long")).drop("id", "key")
+
+
+def _passage_words(parts: DataFrame) -> DataFrame:
+    """id, key, n_passage_words from spans of coded words."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.string()), ("n_passage_words", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(schema)
+        for id_, key, starts, ends in rows_of(batches, "id", "key", "from", "to"):
+            spans = merged(list(zip(starts, ends, strict=True)))
+            if out.add((id_, key, sum(b // CODE - -(-a // CODE) for a, b in spans))):
+                yield out.take()
+        yield from out.rest()
+
+    return parts.select("id", "key", "from", "to").mapInArrow(count, _ddl(schema))
 
 
 def deduplicate(docs: DataFrame, least: int = MIN, words: int | None = None) -> DataFrame:
@@ -432,4 +575,4 @@ def _with_words(docs: DataFrame, told: DataFrame, parts: DataFrame, words: int)
 
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dig(read(spark, sf_dir, "documents"))
+    return dig(read(spark, sf_dir, "documents"), words=WORDS)

@@ -274,3 +274,63 @@ def test_interval_tree():
                         marks |= set(range(-left, right))
             assert set().union(*(range(x, y) for x, y in got[i])) == marks if got[i] or marks else True
     assert sorted(suffix_repeats.intervals([2, 3, 0, 1])) == [(0, 0, 4), (1, 3, 4), (2, 0, 2), (3, 1, 2)]
+
+
+def shared_rims(seed, n=60):
+    """A passage that many rows hold whole or in part, in contexts that differ."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    text = lambda k: " ".join(word() for _ in range(k))
+    passage = text(170)[:560]
+    rows = []
+    for k in range(n):
+        a = rng.choice([0, 0, 1, 7, 30, 90, 150])
+        b = rng.choice([0, 0, 1, 5, 20, 80, 160])
+        rows.append((k, text(rng.randint(1, 30)) + passage[a : len(passage) - b] + text(rng.randint(1, 30))))
+    return [*rows, (900, rows[0][1]), (901, rows[0][1] + "!")]
+
+
+@pytest.mark.parametrize("group", [1000, 4])
+def test_repeats_in_groups_split_on_longer_prefixes(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_repeats.repeats, "__defaults__", (400, 64, group))
+    rows = shared_rims(3)
+    assert sorted((tuple(r) for r in suffix_repeats.dig(frame(spark, rows).repartition(4)).collect()), key=repr) == substring_truth(rows, 400)
+
+
+@pytest.mark.parametrize("group", [1000, 4])
+def test_repeat_groups(spark, group):
+    """Every place of a repeat has the same bytes, no place is left out, and the
+    places cover what occurs twice."""
+    rows = passages(4) + [(1000 + d, t) for d, t in shared_rims(5, 30)]
+    texts = {d: (t or "").encode() for d, t in rows}
+    groups = defaultdict(set)
+    for r in suffix_repeats.repeat_groups(frame(spark, rows).repartition(3), group=group).collect():
+        groups[r.repeat].add((r.doc_id, r.start, r.length))
+    cover = {d: bytearray(len(t)) for d, t in texts.items()}
+    for places in groups.values():
+        assert len(places) > 1
+        d, start, length = min(places)
+        same = texts[d][start : start + length]
+        assert length >= 400 and all(texts[x][a : a + n] == same for x, a, n in places)
+        everywhere = {(x, m.start(), length) for x, t in texts.items() for m in re.finditer(b"(?=" + re.escape(same) + b")", t)}
+        # In a run of one byte pattern windows have another anchor at each place.
+        assert places == everywhere or len({x for x, _, _ in everywhere}) < len(everywhere)
+        for x, a, n in places:
+            cover[x][a : a + n] = b"\1" * n
+    assert {d: sum(c) for d, c in cover.items()} == {r[0]: r[2] for r in substring_truth(rows, 400)}
+
+
+def test_passage_words(spark):
+    """Words of runs of 51 that start elsewhere too, beside what goes by bytes."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
+    run = lambda n: [word() for _ in range(n)]
+    shared = [run(n) for n in (50, 51, 60, 75)]
+    rows = [(k, " ".join([*run(rng.randint(0, 40)), *shared[k % 4], *run(rng.randint(0, 40))])) for k in range(40)]
+    rows += [(100, " ".join(shared[2])), (101, "\n".join(shared[2])), (102, None), (103, ""), (7, "few words"), (7, " ".join(shared[3])), (None, " ".join(shared[3]))]
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t in rows]
+    seen = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    truth = [(d, len({j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)})) for (d, _), w in zip(rows, words, strict=True)]
+    out = suffix_repeats.dig(frame(spark, rows).repartition(4), words=51).collect()
+    assert sorted(((r.doc_id, r.n_passage_words) for r in out), key=repr) == sorted(truth, key=repr)
+    assert sorted((tuple(r)[:5] for r in out), key=repr) == substring_truth(rows, 400)
