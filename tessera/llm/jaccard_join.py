@@ -26,9 +26,14 @@ enough, and then they share an element in the rare part of both (prefix filter,
 rarest first).  No group emits all its pairs, and none is capped.  All
 verification is of whole sets, dealt by centre and salt.
 
+A set is told by 128 bits of hash: nodes have 64 of them, and where two sets
+share these, both hashes together.
+
 Null and empty texts have an empty set and are linked with nothing.  Repeated
-rows are copies.  A null doc_id takes part as text; its component is that of
-its set.
+rows are copies.  Rows are told by doc_id and text, so rows that share a doc_id
+are rows of their own; their components are not joined by it.  A null doc_id
+takes part as text; its component is that of its set, and null where no row of
+the component has a doc_id.
 """
 
 from __future__ import annotations
@@ -163,7 +168,10 @@ def schemes(size: int, percent: int) -> tuple[Scheme, ...]:
     return (own, *below)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("twin", pa.int64()), ("sketch", pa.binary()), ("tags", pa.list_(pa.int64())), ("room", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("twin", pa.int64()), ("sketch", pa.binary()), ("tags", pa.list_(pa.int64())), ("room", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
+#: Centres' salts in one row of what is told.
+_SALTS = 64
+
 _TOLD = pa.schema([("centre", pa.int64()), ("salt", pa.int64()), ("spoke", pa.int64()), ("first", pa.int64()), ("set", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("size", pa.int64()), ("middle", pa.int64()), ("differ", pa.list_(pa.int64()))])
 
@@ -194,53 +202,70 @@ def node_of(h: np.ndarray, seed: int) -> tuple[int, int]:
     return int(np.uint64(xxhash.xxh3_64_intdigest(data, 2 * seed)).view(np.int64)), int(np.uint64(xxhash.xxh3_64_intdigest(data, 2 * seed + 1)).view(np.int64))
 
 
+def node_names(node: int, twin: int) -> tuple[int, int]:
+    """A set's node, and its node where another set has the same first hash."""
+    return node, node ^ twin
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and key, a hash of both by which a row is found again."""
+    return texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+
+
 def sets(docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
-    """doc_id, n, node, twin, sketch, tags, room, sigs of every row; an empty set has no node.
+    """doc_id, key, n, node, twin, sketch, tags, room, sigs of every row; an empty set has no node.
 
     A set that a task has seen before is given without signatures again."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, seen = Out(_SETS, rows=1024), set()
-        for doc_id, text in rows_of(batches, "doc_id", "text"):
+        for doc_id, key, text in rows_of(batches, "doc_id", "key", "text"):
             h = shingles(text, words)
             if not len(h):
-                row = (doc_id, 0, None, None, None, [], [], [])
+                row = (doc_id, key, 0, None, None, None, [], [], [])
             else:
                 node, twin = node_of(h, seed)
-                if node in seen:
-                    row = (doc_id, len(h), node, twin, None, [], [], [])
+                if node << 64 | twin + (1 << 63) in seen:
+                    row = (doc_id, key, len(h), node, twin, None, [], [], [])
                 else:
                     if len(seen) < 1_000_000:
-                        seen.add(node)
+                        seen.add(node << 64 | twin + (1 << 63))
                     given = [(s.band % (1 << TAG), *s.signatures(h)) for s in schemes(len(h), percent)]
-                    row = (doc_id, len(h), node, twin, sketch(h), [g[0] for g in given], [g[2] for g in given], np.concatenate([g[1] for g in given]).view(np.int64))
+                    row = (doc_id, key, len(h), node, twin, sketch(h), [g[0] for g in given], [g[2] for g in given], np.concatenate([g[1] for g in given]).view(np.int64))
             if out.add(row, 8 * len(row[-1])):
                 yield out.take()
         yield from out.rest()
 
-    return docs.mapInArrow(measure, "doc_id long, n long, node long, twin long, sketch binary, tags array<long>, room array<long>, sigs array<long>")
+    return docs.mapInArrow(measure, "doc_id long, key long, n long, node long, twin long, sketch binary, tags array<long>, room array<long>, sigs array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, seed: int, whole: bool = False) -> DataFrame:
-    """For each pair of nodes (a, a_rep, b, b_rep): whether they are linked,
-    the sizes of a and b, and, if whole, the elements in which a and b differ."""
-    share = pairs.groupBy("b").agg(F.max("b_rep").alias("b_rep"), F.ceil(F.count(F.lit(1)) / SPOKES).cast("long").alias("salts"))
+    """For each pair of nodes (a, a_at, b, b_at: keys of rows that have them):
+    whether they are linked, the sizes of a and b, and, if whole, the elements in
+    which a and b differ."""
+    share = pairs.groupBy("b").agg(F.max("b_at").alias("b_at"), F.ceil(F.count(F.lit(1)) / SPOKES).cast("long").alias("salts"))
     share = written(share)
     # pairs grouped by spoke, so that a set is computed once and told to each centre
-    sized = share.drop("b_rep")
-    spokes = pairs.join(F.broadcast(sized) if share.count() <= BROADCAST_ROWS else sized, "b").select(F.col("a_rep").alias("rep"), F.col("a").alias("node"), F.struct(F.col("b").alias("centre"), F.pmod("a", "salts").alias("salt"), F.lit(1).cast("long").alias("first")).alias("to"))
-    centres = share.select(F.col("b_rep").alias("rep"), F.col("b").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select("rep", "node", F.struct(F.col("node").alias("centre"), "salt", F.lit(0).cast("long").alias("first")).alias("to"))
-    want = written(spokes.unionByName(centres).groupBy("rep", "node").agg(F.collect_list("to").alias("to")))
+    sized, one, zero = share.drop("b_at"), F.lit(1).cast("long"), F.lit(0).cast("long")
+    spokes = pairs.join(F.broadcast(sized) if share.count() <= BROADCAST_ROWS else sized, "b").select(F.col("a_at").alias("at"), F.col("a").alias("node"), zero.alias("part"), F.struct(F.col("b").alias("centre"), F.pmod("a", "salts").alias("salt"), one.alias("first")).alias("to"))
+    centres = share.select(F.col("b_at").alias("at"), F.col("b").alias("node"), F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"))
+    # A centre with very many salts is told in several rows, so none is long.
+    centres = centres.select("at", "node", F.expr(f"salt div {_SALTS}").alias("part"), F.struct(F.col("node").alias("centre"), "salt", zero.alias("first")).alias("to"))
+    want = written(spokes.unionByName(centres).groupBy("at", "node", "part").agg(F.collect_list("to").alias("to")))
     side = F.broadcast(want) if want.count() <= BROADCAST_ROWS else want
-    found = docs.join(side, docs.doc_id == F.col("rep")).select("node", "text", F.to_json("to").alias("to"))
+    found = docs.join(side, docs.key == F.col("at")).select("node", "part", "text", F.to_json("to").alias("to"))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
-        out = Out(_TOLD)
-        for node, text, to in rows_of(batches, "node", "text", "to"):
+        out, done = Out(_TOLD), set()  # repeated rows are told once a task
+        for node, part, text, to in rows_of(batches, "node", "part", "text", "to"):
+            if (node, part) in done:
+                continue
             h = shingles(text, words)
-            if len(h) and node_of(h, seed)[0] == node:
+            if len(h) and node in node_names(*node_of(h, seed)):
+                if len(done) < 1_000_000:
+                    done.add((node, part))
                 data = h.tobytes()
                 for t in json.loads(to):
                     if out.add((t["centre"], t["salt"], node, t["first"], data), len(data)):
@@ -286,12 +311,12 @@ def informative(hit: DataFrame, rows: DataFrame) -> DataFrame:
     return written(hit.join(side, "sig", "left_anti").select("sig", "node").unionByName(kept))
 
 
-_STAR = pa.schema([("a", pa.int64()), ("a_rep", pa.int64()), ("b", pa.int64()), ("b_rep", pa.int64())])
-_PAIR = "a long, a_rep long, b long, b_rep long"
+_STAR = pa.schema([("a", pa.int64()), ("a_at", pa.int64()), ("b", pa.int64()), ("b_at", pa.int64())])
+_PAIR = "a long, a_at long, b long, b_at long"
 
 
 def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, a_rep, b, b_rep) that sizes and sketches don't rule out."""
+    """The pairs (a, a_at, b, b_at) that sizes and sketches don't rule out."""
     one = known.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("sketch").alias("a_sketch"))
     two = known.select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("sketch").alias("b_sketch"))
     fits = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
@@ -299,9 +324,9 @@ def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
     def rule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(_STAR)
-        for a, a_rep, b, b_rep, r, s, x, y in rows_of(batches, "a", "a_rep", "b", "b_rep", "a_size", "b_size", "a_sketch", "b_sketch"):
+        for a, a_at, b, b_at, r, s, x, y in rows_of(batches, "a", "a_at", "b", "b_at", "a_size", "b_size", "a_sketch", "b_sketch"):
             size = min(len(x), len(y))
-            if int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= reach(r + s, percent) and out.add((a, a_rep, b, b_rep)):
+            if int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= reach(r + s, percent) and out.add((a, a_at, b, b_at)):
                 yield out.take()
         yield from out.rest()
 
@@ -311,7 +336,7 @@ def plausible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 def within_groups(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of one centre, in different components, that sizes and
     sketches don't rule out.  pairs: of centres with GROUP nodes at most."""
-    slim = pairs.select("b", "a").join(placed.select(F.col("node").alias("a"), "rep", "size", "comp"), "a")
+    slim = pairs.select("b", "a").join(placed.select(F.col("node").alias("a"), "at", "size", "comp"), "a")
     open_ = slim.groupBy("b").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("b")
     rows = slim.join(open_, "b").join(placed.select(F.col("node").alias("a"), "sketch"), "a")
 
@@ -333,29 +358,35 @@ def within_groups(pairs: DataFrame, placed: DataFrame, percent: int) -> DataFram
                     for j in np.flatnonzero(may) + i + 1:
                         yield (*members[i][:2], *members[j][:2])
 
-        for b, a, rep, n, comp, data in rows_of(batches, "b", "a", "rep", "size", "comp", "sketch"):
+        for b, a, at, n, comp, data in rows_of(batches, "b", "a", "at", "size", "comp", "sketch"):
             if b != now:
                 for row in finish():
                     if out.add(row):
                         yield out.take()
                 now, members = b, []
-            members.append((a, rep, n, comp, data))
+            members.append((a, at, n, comp, data))
         for row in finish():
             if out.add(row):
                 yield out.take()
         yield from out.rest()
 
-    found = rows.select("b", "a", "rep", "size", "comp", "sketch").repartition("b").sortWithinPartitions("b").mapInArrow(compare, _PAIR)
+    found = rows.select("b", "a", "at", "size", "comp", "sketch").repartition("b").sortWithinPartitions("b").mapInArrow(compare, _PAIR)
     return found.distinct()
 
 
 def across(compared: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, a_rep, b, b_rep) of nodes in different components that may be
-    linked, among those that share a signature and so a centre."""
+    """Pairs (a, a_at, b, b_at) of nodes in different components that may be
+    linked, among those that share a signature and so a centre.
+
+    Nodes that are alike whatever elements they share, as their differences from
+    the centre are within reach together, needn't be looked for: with sizes r, s
+    and t of a, b and the centre and differences d and e, d + e within reach of
+    r + s, e is at least s - t, and so d within reach of r + t: a is linked to the
+    centre, and b likewise."""
     # Only a centre whose nodes are in several components, one of them not
     # linked to it, can have pairs left.
-    slim = compared.select("b", "a", "linked", "size", "middle", F.size("differ").cast("long").alias("d"))
-    slim = written(slim.join(placed.select(F.col("node").alias("a"), "rep", "comp"), "a"))
+    slim = compared.select("b", "a", "linked", "size", F.size("differ").cast("long").alias("d"))
+    slim = written(slim.join(placed.select(F.col("node").alias("a"), "at", "comp"), "a"))
     open_ = slim.groupBy("b").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("b")
     open_ = written(open_)
     near = written(slim.join(F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_, "b"))
@@ -369,12 +400,8 @@ def across(compared: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     # rows, as nothing meets there, but they count for the places of the rest.
     shared = each.join(rare, ["b", "x"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("xs"))
     told = near.join(shared, ["b", "a"]).withColumn("alone", F.col("d") - F.size("xs"))
-    told = told.select("*", F.posexplode("xs").alias("at", "e")).select("b", "a", "rep", "comp", "linked", "size", "d", F.col("e.x").alias("x"), (F.col("alone") + F.col("at") + 1).alias("place")).where(F.col("place") <= F.when(F.col("linked"), F.col("d")).otherwise(most + 1))
-    # Little different nodes of which sizes alone may make a link: no shared
-    # element is needed where d and d' together are within reach.
-    least = within(F.ceil(F.col("size") * percent / 100) + F.col("middle")) + 1
-    slack = near.where(F.when(F.col("linked"), F.col("d") + least <= most).otherwise(F.col("d") <= most)).select("b", "a", "rep", "comp", "linked", "size", "d", F.lit(None).cast("long").alias("x"), F.lit(0).cast("long").alias("place"))
-    told = written(told.unionByName(slack))
+    told = told.select("*", F.posexplode("xs").alias("place", "e")).select("b", "a", "at", "comp", "linked", "size", "d", F.col("e.x").alias("x"), (F.col("alone") + F.col("place") + 1).alias("place"))
+    told = written(told.where(F.col("place") <= F.when(F.col("linked"), F.col("d")).otherwise(most + 1)))
     # A linked node belongs to its centre's component: of two such nodes no
     # pair is open; so one of a pair is not linked to the centre.
     one, two = told.where("not linked"), told.select(*(F.col(c).alias(f"o_{c}") for c in told.columns))
@@ -382,20 +409,45 @@ def across(compared: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     fits = (F.col("comp") != F.col("o_comp")) & (100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size"))
     once = F.col("o_linked") | (F.col("a") < F.col("o_a"))
     by_element = (F.col("b") == F.col("o_b")) & (F.col("x") == F.col("o_x")) & fits & once & (F.col("place") <= F.col("d") - need + 1) & (F.col("o_place") <= F.col("o_d") - need + 1)
-    by_slack = (F.col("b") == F.col("o_b")) & fits & once & (need <= 0)
-    found = one.where("x is not null").join(two.where("o_x is not null"), by_element).unionByName(one.where("x is null").join(two.where("o_x is null"), by_slack))
-    return found.select("a", F.col("rep").alias("a_rep"), F.col("o_a").alias("b"), F.col("o_rep").alias("b_rep")).distinct()
-
+    return one.join(two, by_element).select("a", F.col("at").alias("a_at"), F.col("o_a").alias("b"), F.col("o_at").alias("b_at")).distinct()
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, node, component_id) and the links found (a, b: smallest doc_ids).
 
-    seed: another one is to be taken should two sets have one 64-bit hash."""
-    docs = texts(docs)
+def measured(docs: DataFrame, words: int, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of sets(), and their nodes: node, rep (smallest doc_id), at (that
+    row's key), n, sketch."""
     rows = written(sets(docs, words, percent, seed))
-    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), (F.min("twin") != F.max("twin")).alias("clash")))
-    if nodes.where("clash").limit(1).count():
-        raise ValueError("two sets have one hash; take another seed")
+
+    def grouped() -> DataFrame:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+        of = rows.where("n > 0").groupBy("node").agg(first, F.max("n").alias("n"), F.max("sketch").alias("sketch"), (F.min("twin") != F.max("twin")).alias("clash"))
+        return written(of.select("node", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("at"), "n", "sketch", "clash"))
+
+    nodes = grouped()
+    # Of 10^10 sets a few pairs share 64 bits; they are told by their other hash too.
+    clash = nodes.where("clash").select("node", "clash")
+    if clash.limit(1).count():
+        name = F.when(F.col("clash"), F.col("node").bitwiseXOR(F.col("twin"))).otherwise(F.col("node"))
+        old, rows = (nodes, rows), written(rows.join(clash, "node", "left").withColumn("node", name).select(rows.columns))
+        nodes = grouped()
+        release(*old)
+        if nodes.where("clash").limit(1).count():
+            raise ValueError("two sets have one hash of 128 bits; take another seed")
+    return rows, nodes.drop("clash")
+
+
+def join(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, node, component_id) and the links found (a, b: smallest doc_ids)."""
+    rows, linked, nodes = _joined(docs, words, percent, seed)
+    a, b = nodes.select(F.col("node").alias("a"), F.col("rep").alias("a_rep")), nodes.select(F.col("node").alias("b"), F.col("rep").alias("b_rep"))
+    links = linked.join(a, "a").join(b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    return rows.select("doc_id", "n_shingles", "node", "component_id"), links
+
+
+def _joined(docs: DataFrame, words: int, percent: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, key, n_shingles, node, component_id and keep (the key of the row
+    that stays for the component) of every row; links and nodes."""
+    docs = keyed(docs)
+    rows, nodes = measured(docs, words, percent, seed)
     exploded = rows.select("node", F.explode("sigs").alias("sig"))
     popular = written(exploded.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"))
     # Joined alike at every size.  A table of its own: what follows by signature
@@ -408,13 +460,13 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0) -> t
     shared = written(told.groupBy("x", "y", "n", F.coalesce("p", "sig").alias("p"), F.coalesce("q", "sig").alias("q")).agg(F.min("sig").alias("sig"), (F.col("n") * F.count(F.lit(1))).alias("weight")).select("sig", "weight"))
     side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
     met = hit.join(side, "sig").groupBy("node").agg(F.sum("weight").alias("support"), F.collect_set("sig").alias("sigs"))
-    known = written(met.join(nodes.select("node", "rep", F.col("n").alias("size"), "sketch"), "node"))
-    slim = written(rows.select("doc_id", "n", "node"))
+    known = written(met.join(nodes.select("node", "at", F.col("n").alias("size"), "sketch"), "node"))
+    slim = written(rows.select("doc_id", "key", "n", "node"))
     release(rows, popular, hit, shared)
-    flat = known.select(F.explode("sigs").alias("sig"), "node", "rep", "support")
-    centre = written(flat.groupBy("sig").agg(F.max(F.struct("support", (-F.col("rep")).alias("late"), "node", "rep")).alias("c")).select("sig", F.col("c.node").alias("b"), F.col("c.rep").alias("b_rep")))
-    pairs = written(flat.join(centre, "sig").where("node != b").select(F.col("node").alias("a"), F.col("rep").alias("a_rep"), "b", "b_rep").distinct())
-    placed = written(known.select("node", "rep", "size", "sketch"))
+    flat = known.select(F.explode("sigs").alias("sig"), "node", "at", "support")
+    centre = written(flat.groupBy("sig").agg(F.max(F.struct("support", "node", "at")).alias("c")).select("sig", F.col("c.node").alias("b"), F.col("c.at").alias("b_at")))
+    pairs = written(flat.join(centre, "sig").where("node != b").select(F.col("node").alias("a"), F.col("at").alias("a_at"), "b", "b_at").distinct())
+    placed = written(known.select("node", "at", "size", "sketch"))
     release(known, centre)
     large = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP).select("b"))
     n_large = large.count()
@@ -424,32 +476,36 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0) -> t
     compared = written(verified(docs, near, words, percent, seed))
     told = written(verified(docs, many, words, percent, seed, whole=True)) if n_large else None
 
-    def named(found: DataFrame) -> DataFrame:
-        a, b = nodes.select(F.col("node").alias("a"), F.col("rep").alias("a_rep")), nodes.select(F.col("node").alias("b"), F.col("rep").alias("b_rep"))
-        return found.where("linked").select("a", "b").join(a, "a").join(b, "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
-
-    linked = written(named(compared.unionByName(told) if told else compared))
+    linked = written((compared.unionByName(told) if told else compared).where("linked").select("a", "b"))
     part = components(linked)
-    placed = written(placed.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", "size", "sketch", F.coalesce("component", "rep").alias("comp")))
+    placed = written(placed.join(part, "node", "left").select("node", "at", "size", "sketch", F.coalesce("component", "node").alias("comp")))
     rest = within_groups(few, placed, percent)
     rest = written(rest.unionByName(across(told, placed, percent)).distinct() if told else rest)
     release(pairs, near, compared, placed)
     if rest.limit(1).count():
-        more = written(named(verified(docs, rest, words, percent, seed)))
+        more = written(verified(docs, rest, words, percent, seed).where("linked").select("a", "b"))
         if more.limit(1).count():
             linked = written(linked.unionByName(more))
             part = components(linked)
-    of = nodes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
+    # Of each component the row of the smallest doc_id, by which it is named.
+    all_ = part.unionByName(part.select(F.col("component").alias("node"), "component").distinct())
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "at")).alias("first")
+    named = all_.join(nodes, "node").groupBy("component").agg(first)
+    named = written(all_.join(named, "component").select("node", F.col("first.rep").alias("least"), F.col("first.at").alias("keep")))
+    of = nodes.join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"), F.coalesce("keep", "at").alias("keep"))
     out = slim.join(of, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id")), linked
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "keep"), linked, nodes
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each component the smallest doc_id, once."""
-    decided, _ = join(docs, words, percent)
-    gone = decided.where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    stay = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    return stay.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """The rows of docs that stay: of each component the row of the smallest
+    doc_id, once, and each row without words, once.  A null doc_id comes after all
+    others; of rows that share the smallest doc_id one stays."""
+    decided, _, _ = _joined(docs, words, percent, 0)
+    gone = decided.where("key != keep").select(F.col("doc_id").alias("__gone"), F.col("key").alias("__gone_key")).distinct()
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (own == F.col("__gone_key"))
+    return docs.join(gone, same, "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

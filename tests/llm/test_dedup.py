@@ -334,3 +334,55 @@ def test_passage_words(spark):
     out = suffix_repeats.dig(frame(spark, rows).repartition(4), words=51).collect()
     assert sorted(((r.doc_id, r.n_passage_words) for r in out), key=repr) == sorted(truth, key=repr)
     assert sorted((tuple(r)[:5] for r in out), key=repr) == substring_truth(rows, 400)
+
+
+def test_near_keeps_other_texts_of_an_id(spark):
+    """Rows that share a doc_id, or have none, are told apart by their texts."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    near = lambda t: t + " more"
+    rows = [(1, a), (7, a), (7, b), (3, near(b)), (8, near(b)), (9, c), (None, near(c)), (None, d), (None, near(d)), (None, d), (5, ""), (5, None), (None, ""), (None, None), (9, "alone")]
+    kept = sorted((tuple(r) for r in jaccard_join.deduplicate(frame(spark, rows).repartition(3)).collect()), key=repr)
+    have = set(kept)
+    assert {(1, a), (3, near(b)), (9, c), (9, "alone"), (5, ""), (5, None), (None, ""), (None, None)} <= have
+    assert len(kept) == 9 and len(have & {(None, d), (None, near(d))}) == 1
+    out = {(r.doc_id, r.component_id) for r in jaccard_join.join(frame(spark, rows), 5, 80)[0].collect() if r.n_shingles}
+    assert out == {(1, 1), (7, 1), (7, 3), (3, 3), (8, 3), (9, 9), (None, 9), (None, None)}
+
+
+def test_near_where_hashes_clash(spark, monkeypatch):
+    """Sets of one 64-bit hash are told by 128 bits."""
+    whole = jaccard_join.node_of
+    monkeypatch.setattr(jaccard_join, "node_of", lambda h, seed: (whole(h, seed)[0] % 40, whole(h, seed)[1]))
+    rows = families(9)[:150]
+    docs = jaccard_join.keyed(frame(spark, rows).repartition(3))
+    parts = jaccard_join.measured(docs, 3, 90, 0)
+    assert parts[1].count() == len({tuple(sorted(set(zip(*(w[i:] for i in range(3)))) if len(w) >= 3 else {tuple(w)})) for _, t in rows if (w := words_of(t))})
+    monkeypatch.setattr(jaccard_join, "GROUP", 3)
+    out, _ = jaccard_join.join(frame(spark, rows).repartition(3), 3, 90)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == near_truth(rows, 3, 90)
+
+
+def test_near_pairs_of_a_large_group(spark):
+    """Nodes of one centre give about as many candidates as there are nodes."""
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 1500):
+        w = base[:]
+        for _ in range(rng.choice([1, 1, 8, 12])):
+            w[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    seen = []
+    whole = jaccard_join.verified
+
+    def counted(docs, pairs, *args, **more):
+        seen.append(pairs.count())
+        return whole(docs, pairs, *args, **more)
+
+    jaccard_join.verified, old = counted, jaccard_join.verified
+    try:
+        out, _ = jaccard_join.join(frame(spark, rows).repartition(4), 3, 90)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == near_truth(rows, 3, 90)
+    finally:
+        jaccard_join.verified = old
+    assert sum(seen) < 40 * len(rows)
