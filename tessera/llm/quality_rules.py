@@ -1,21 +1,30 @@
 """Quality rules: fixed base rules and robust multivariate outliers.
 
 Every text gives a vector of transformed statistics.  For each language and
-source a minimum-covariance-determinant estimate of centre and covariance is
-found by concentration: from coordinate-wise medians and quartiles, the share
-COVER of rows with the smallest Mahalanobis distances is taken again and again
-to re-estimate both.  A row is rejected when its distance, scaled so that the
-median row has the median of a chi-square variable, is beyond the cut.  The
-degrees of freedom are those that the covariance has: the trace of C (C + F)^-1
-for a covariance C and the squared floors F, so a statistic without variance
-adds none.
+source, each language, and all rows a minimum-covariance-determinant estimate of
+centre and covariance is searched for by concentration: the share COVER of rows
+with the smallest Mahalanobis distances re-estimates both, which lowers the
+determinant, again and again until nothing changes.  There are three starts, which
+follow from the rows alone: coordinate-wise medians and quartiles, the covariance
+of hyperbolic tangents, and that of spatial signs.  After TRIALS steps the start of
+the least determinant goes on.
+
+The estimate of a language and source is drawn to that of its language, and that
+to the one of all rows, by weights n and POOL for a group of n rows; that of all
+rows to fixed standard deviations by n and PRIOR_ROWS.  So there is no size at
+which a group is treated otherwise.
+
+A row is rejected when its distance, scaled so that the median row of its group
+has the median of a chi-square variable (drawn to the language's and all rows'
+medians in the same way), is beyond the cut.  The degrees of freedom are those
+that the covariance has: the trace of C (C + F)^-1 for a covariance C and the
+squared floors F, so a statistic without variance adds none.
 
 All estimates are over all rows.  Vectors are fixed-point integers, sums are
-exact decimals, order statistics are exact counts of quantised values; so
+exact integers, order statistics are exact counts of quantised values, of which
+there are few as all statistics are shares, their roots, or logarithms; so
 results don't depend on how rows are dealt, and every aggregate combines before
-the shuffle, whatever share of rows one source has.  Groups of fewer than
-LEAST rows are pooled by language, then all together; where even that pool is
-too small nothing is judged an outlier.
+the shuffle, whatever share of rows one source has.
 
 Null and empty texts have no words and fail the base rules.  Null languages and
 sources are groups like others.  Repeated rows count as often as they occur.
@@ -25,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,21 +50,25 @@ UPPER = bytes(range(65, 91))
 WHITE = b" \t\n\r\x0b\x0c"
 
 MIN_WORDS, WINDOW, MOST_REPEATED = 10, 5, 20
-#: Share of rows that an estimate rests on, concentration steps, rows of a group.
-COVER, STEPS, LEAST = 0.75, 5, 200
+#: Share of rows that an estimate rests on, and concentration steps of a fixed number.
+COVER, STEPS = 0.75, 5
+#: Steps after which the starts are compared, and at most.
+TRIALS, MOST_STEPS = 2, 40
+#: Weight of a larger group's estimate, in rows, and of the fixed deviations.
+POOL, PRIOR_ROWS = 100, 12
 #: The cut is the 0.99 quantile of chi-square, by the Wilson-Hilferty form from its normal deviate.
 CUT = 2.326
 #: Fixed point of the statistics, and of log distances.
 UNIT, STEP = 10_000, 1_000
-#: Largest value of a statistic, which bounds the distinct values that are counted.
-MOST = 1_000.0
 #: Parameters of so many groups are broadcast; of more, joined by salt.
 BROADCAST_GROUPS, SALTS = 20_000, 64
 
 #: Statistic, and the standard deviation that is added to an estimate.  That of word_length,
 #: punctuation and upper only keeps the matrix regular; the others are 0 in nearly all rows that an
 #: estimate rests on, which then says nothing of their variance, and their floors stand for it.
-STATISTICS = [("word_length", 0.01), ("symbols", 0.05), ("punctuation", 0.0003), ("upper", 0.0003), ("dup_lines", 0.2), ("repeats", 0.2)]
+STATISTICS = [("word_length", 0.002), ("symbols", 0.05), ("punctuation", 0.0003), ("upper", 0.0003), ("dup_lines", 0.2), ("repeats", 0.2)]
+#: Standard deviations that the estimate of all rows is drawn to.
+PRIOR = [0.2, 0.1, 0.02, 0.02, 0.2, 0.2]
 _D = len(STATISTICS)
 _NAMES = [f"v{k}" for k in range(_D)]
 
@@ -84,14 +98,14 @@ def statistics(text: str) -> tuple[int, ...]:
             repeated = int(np.count_nonzero(np.cumsum(edge[:n])))
     # Short texts are drawn to what is usual, as their shares vary most.
     vector = (
-        (chars + 1500) / (n + 300),
+        math.log((chars + 1500) / (n + 300)),
         math.sqrt(symbols / (chars + 50)),
         (_count(data, PUNCTUATION) + 52) / (chars + 2000),
         (_count(data, UPPER) + 30) / (chars + 2000),
         math.sqrt(dup / (len(lines) + 5)),
         math.sqrt(repeated / (n + 20)),
     )
-    return (n, chars, symbols, dup, repeated, *(round(min(x, MOST) * UNIT) for x in vector))
+    return (n, chars, symbols, dup, repeated, *(round(x * UNIT) for x in vector))
 
 
 def _groups(docs: DataFrame) -> list[Column]:
@@ -122,53 +136,73 @@ def _grouped(rows: DataFrame, least: int) -> DataFrame:
     sized = written(rows.groupBy(fine.alias("fine"), coarse.alias("coarse")).agg(F.count(F.lit(1)).alias("n")))
     small = sized.where(F.col("n") < least).groupBy("coarse").agg(F.sum("n").alias("pooled"))
     names = sized.join(small, "coarse", "left").select("fine", F.when(F.col("n") >= least, F.col("fine")).when(F.col("pooled") >= least, F.col("coarse")).otherwise("*").alias("g"))
-    return _attached(rows.withColumn("fine", fine), names, "fine").drop("fine")
+    return _attached(rows.withColumn("fine", fine), written(names), sized.count(), "fine").drop("fine")
 
 
-def _attached(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """rows with the columns of table, which has one row a group."""
-    table = written(table)
-    if table.count() <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(table), key, "left")
+def _groups_of(rows: DataFrame) -> int:
+    return rows.select("g").distinct().count()
+
+
+def _attached(rows: DataFrame, table: DataFrame, groups: int, *key: str) -> DataFrame:
+    """rows with the columns of table, which has some rows for each of so many
+    groups; rows of groups that aren't there go."""
+    if groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(table), [*key])
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", *_NAMES), F.lit(SALTS)))
-    return salted.join(table.select("*", salts.alias("salt")), [key, "salt"], "left").drop("salt")
+    return salted.join(table.select("*", salts.alias("salt")), [*key, "salt"]).drop("salt")
 
 
 def _distance() -> Column:
     """ln(1 + squared Mahalanobis distance) in fixed point, from centre c and whitening rows w."""
-    total = F.lit(0.0)
-    x = [F.col(n) / F.lit(float(UNIT)) - F.get("c", k) for k, n in enumerate(_NAMES)]
-    for i in range(_D):
-        z = F.lit(0.0)
-        for j in range(i + 1):
-            z = z + F.get("w", i * _D + j) * x[j]
-        total = total + z * z
-    return F.round(F.log1p(total) * STEP).cast("long")
+    x = [f"({n} / {float(UNIT)}D - get(c, {k}))" for k, n in enumerate(_NAMES)]
+    z = [" + ".join(f"get(w, {i * _D + j}) * {x[j]}" for j in range(i + 1)) for i in range(_D)]
+    return F.expr(f"CAST(round(log1p({' + '.join(f'power({v}, 2D)' for v in z)}) * {STEP}) AS BIGINT)")
+
+
+def _floors() -> np.ndarray:
+    return np.diag([f * f for _, f in STATISTICS])
+
+
+_STATE = "g string, k long, n long, c array<double>, v array<double>, w array<double>, dof double, det double, stamp string"
 
 
 def _solved(moments: DataFrame) -> DataFrame:
-    """g, c, w, dof from g, n, sums s and sums of products p."""
-    floors = np.array([f for _, f in STATISTICS]) ** 2
-    schema = pa.schema([("g", pa.string()), ("c", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())), ("dof", pa.float64())])
+    """g, k, n, c, v, w, dof, det, stamp from g, k and moments: the centre, covariance, whitening matrix, degrees of freedom, log determinant,
+    and what tells one choice of rows from another."""
+    floors = _floors()
+    schema = pa.schema([("g", pa.string()), ("k", pa.int64()), ("n", pa.int64()), *((x, pa.list_(pa.float64())) for x in "cvw"), ("dof", pa.float64()), ("det", pa.float64()), ("stamp", pa.string())])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(schema)
-        for g, n, s, p in rows_of(batches, "g", "n", "s", "p"):
-            centre = [int(x) / n / UNIT for x in s]
-            cov, k = np.zeros((_D, _D)), 0
-            for i in range(_D):
-                for j in range(i, _D):
-                    exact = int(p[k]) * n - int(s[i]) * int(s[j])
-                    cov[i, j] = cov[j, i] = exact / n / n / UNIT**2
-                    k += 1
-            whiten = np.linalg.inv(np.linalg.cholesky(cov + np.diag(floors)))
+        for g, k, n, s, high, low in rows_of(batches, "g", "k", "n", "s", "high", "low"):
+            centre, cov = [x / n / UNIT for x in s], _covariance(n, s, high, low)
+            lower = np.linalg.cholesky(cov + floors)
+            whiten = np.linalg.inv(lower)
             dof = max(1.0, float(np.trace(whiten @ cov @ whiten.T)))
-            if out.add((g, centre, whiten.ravel().tolist(), dof)):
+            det = round(2 * float(np.log(np.diag(lower)).sum()), 9)
+            if out.add((g, k, n, centre, cov.ravel().tolist(), whiten.ravel().tolist(), dof, det, f"{n},{s},{high},{low}")):
                 yield out.take()
         yield from out.rest()
 
-    return moments.mapInArrow(solve, "g string, c array<double>, w array<double>, dof double")
+    return moments.mapInArrow(solve, _STATE)
+
+
+def _covariance(n: int, s: list[int], high: list[int], low: list[int]) -> np.ndarray:
+    """From exact sums and sums of products of fixed-point numbers."""
+    cov, at = np.zeros((_D, _D)), 0
+    for i in range(_D):
+        for j in range(i, _D):
+            cov[i, j] = cov[j, i] = (((high[at] << 16) + low[at]) * n - s[i] * s[j]) / n / n / UNIT**2
+            at += 1
+    return cov
+
+
+def _moments(rows: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """n, sums s, and sums of products in high and low bits, exact in 64 bits, of each group."""
+    products = [f"{values[i]} * {values[j]}" for i in range(_D) for j in range(i, _D)]
+    sums = [f"array({', '.join(f'sum({v})' for v in vs)}) AS {name}" for name, vs in (("s", values), ("high", [f"shiftright({p}, 16)" for p in products]), ("low", [f"({p}) & 65535L" for p in products]))]
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *map(F.expr, sums))
 
 
 def _started(rows: DataFrame) -> DataFrame:
@@ -182,21 +216,107 @@ def _started(rows: DataFrame) -> DataFrame:
     return q.select("g", centre.alias("c"), whiten.alias("w"), F.lit(float(_D)).alias("dof"))
 
 
+def _starts(rows: DataFrame, groups: int) -> DataFrame:
+    """g, k, c, w of the three starts of each group."""
+    first = written(_started(rows).select("g", "c", "w"))
+    at = _attached(rows, first, groups, "g")
+    z = [f"(({n} / {float(UNIT)}D - get(c, {i})) * get(w, {i * _D + i})) AS z{i}" for i, n in enumerate(_NAMES)]
+    far = "sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(_D)) + ")"
+    tangents = [f"CAST(round(tanh(z{i}) * {UNIT}) AS BIGINT) AS t{i}" for i in range(_D)]
+    signs = [f"CAST(round(if({far} > 0, z{i} / {far}, 0D) * {UNIT}) AS BIGINT) AS u{i}" for i in range(_D)]
+    at = written(at.selectExpr("g", *z).selectExpr("g", *tangents, *signs))
+    tangents, signs = (_moments(at, ["g"], [f"{x}{i}" for i in range(_D)]) for x in "tu")
+    both = tangents.withColumn("k", F.lit(1).cast("long")).unionByName(signs.withColumn("k", F.lit(2).cast("long"))).join(first, "g")
+    schema = pa.schema([("g", pa.string()), ("k", pa.int64()), ("c", pa.list_(pa.float64())), ("w", pa.list_(pa.float64()))])
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(schema)
+        for g, k, n, s, high, low, c, w in rows_of(batches, "g", "k", "n", "s", "high", "low", "c", "w"):
+            scatter = _covariance(n, s if k == 1 else [0] * _D, high, low) + 1e-6 * np.eye(_D)
+            whiten = np.linalg.inv(np.linalg.cholesky(scatter)) @ np.reshape(w, (_D, _D))
+            if out.add((g, k, c, whiten.ravel().tolist())):
+                yield out.take()
+        yield from out.rest()
+
+    return first.withColumn("k", F.lit(0).cast("long")).unionByName(both.mapInArrow(shape, "g string, k long, c array<double>, w array<double>"))
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, groups: int, cover: float) -> DataFrame:
+    """The state of each group and start after one step from now (g, k, c, w)."""
+    at = _attached(rows, now.select("g", "k", "c", "w"), groups, "g").withColumn("d", _distance()).drop("c", "w")
+    edge = at.groupBy("g", "k").agg(F.percentile("d", cover).alias("edge"))
+    inner = _attached(at, edge, groups, "g", "k").where(F.col("d") <= F.col("edge"))
+    return _solved(_moments(inner, ["g", "k"], _NAMES))
+
+
+def _middles(rows: DataFrame) -> DataFrame:
+    """g, middle: the median distance of each group."""
+    return rows.groupBy("g").agg(F.percentile(F.col("d"), 0.5).alias("middle"))
+
+
 def estimates(rows: DataFrame, cover: float = COVER, steps: int = STEPS) -> DataFrame:
     """g, c, w, dof, middle: centre, whitening matrix, degrees of freedom and median
-    distance of each group."""
-    now = written(_started(rows))
+    distance of each group, after a number of steps from medians and quartiles."""
+    now, groups = written(_started(rows).withColumn("k", F.lit(0).cast("long"))), _groups_of(rows)
     for _ in range(steps):
-        at = _attached(rows, now.drop("dof"), "g").withColumn("d", _distance())
-        edge = at.groupBy("g").agg(F.percentile("d", cover).alias("edge"))
-        inner = _attached(at, edge, "g").where(F.col("d") <= F.col("edge"))
-        dec = lambda c: c.cast("decimal(38,0)")
-        sums = F.array(*(F.sum(dec(F.col(n))) for n in _NAMES))
-        products = F.array(*(F.sum(dec(F.col(_NAMES[i]) * F.col(_NAMES[j]))) for i in range(_D) for j in range(i, _D)))
-        moments = inner.groupBy("g").agg(F.count(F.lit(1)).alias("n"), sums.cast("array<string>").alias("s"), products.cast("array<string>").alias("p"))
-        now = written(_solved(moments))
-    middle = _attached(rows, now.drop("dof"), "g").groupBy("g").agg(F.percentile(_distance(), 0.5).alias("middle"))
-    return written(now.join(middle, "g"))
+        now = written(_concentrated(rows, now, groups, cover))
+    at = _attached(rows, now.select("g", "c", "w"), groups, "g").withColumn("d", _distance())
+    return written(now.join(_middles(at), "g"))
+
+
+def least_determinants(rows: DataFrame, cover: float = COVER, trials: int = TRIALS, most: int = MOST_STEPS) -> DataFrame:
+    """The state (g, n, c, v, w, dof, det) of each group at the fixed point that the
+    best of its starts leads to."""
+    groups = _groups_of(rows)
+    now = written(_starts(rows, groups))
+    for _ in range(trials):
+        now = written(_concentrated(rows, now, groups, cover))
+    names = ("k", "n", "c", "v", "w", "dof", "stamp")
+    now = written(now.groupBy("g").agg(F.min(F.struct("det", *names)).alias("b")).select("g", "b.*"))
+    done = []
+    for _ in range(most - trials):
+        # Only groups that the last step changed go on.
+        step = _concentrated(rows, now, groups, cover).join(F.broadcast(now.select("g", F.col("stamp").alias("before"))), "g")
+        step = written(step)
+        done.append(step.where("stamp = before"))
+        now = step.where("stamp != before")
+        if not now.limit(1).count():
+            break
+    return written(reduce(DataFrame.unionByName, [*done, now]).drop("before"))
+
+
+def _drawn(n: float, own: np.ndarray, weight: float, to: np.ndarray) -> np.ndarray:
+    return (n * own + weight * to) / (n + weight)
+
+
+_LEVEL_NAMES = ["g", "wide", "all"]
+
+
+def _shrunk(states: DataFrame, levels: DataFrame) -> DataFrame:
+    """g, c, w, dof of each language and source, drawn to its language and to all;
+    levels: g, wide, all, and the numbers of rows n_g, n_wide, n_all."""
+    floors, prior = _floors(), np.diag(np.square(PRIOR))
+    each = levels
+    for name in _LEVEL_NAMES:
+        own = states.select(F.col("g").alias(f"of_{name}"), F.col("c").alias(f"c_{name}"), F.col("v").alias(f"v_{name}"))
+        each = each.join(own, F.col(name) == F.col(f"of_{name}")).drop(f"of_{name}")
+    columns = ["g", *(f"{x}_{name}" for name in _LEVEL_NAMES for x in "ncv")]
+    schema = pa.schema([("g", pa.string()), ("c", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())), ("dof", pa.float64())])
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(schema)
+        for g, *values in rows_of(batches, *columns):
+            own = [(values[k], np.array(values[k + 1]), np.reshape(values[k + 2], (_D, _D))) for k in (0, 3, 6)]
+            n, centre, cov = own[2]
+            cov = _drawn(n, cov, PRIOR_ROWS, prior)
+            for n, c, v in (own[1], own[0]):
+                centre, cov = _drawn(n, c, POOL, centre), _drawn(n, v, POOL, cov)
+            whiten = np.linalg.inv(np.linalg.cholesky(cov + floors))
+            if out.add((g, centre.tolist(), whiten.ravel().tolist(), max(1.0, float(np.trace(whiten @ cov @ whiten.T))))):
+                yield out.take()
+        yield from out.rest()
+
+    return each.select(*columns).mapInArrow(shrink, "g string, c array<double>, w array<double>, dof double")
 
 
 def chi_square(z: float, d: float | Column = _D) -> float | Column:
@@ -204,24 +324,50 @@ def chi_square(z: float, d: float | Column = _D) -> float | Column:
     return d * (1 - 2 / (9 * d) + z * (2 / (9 * d)) ** 0.5) ** 3
 
 
-def judge(docs: DataFrame, least: int = LEAST, cut: float = CUT) -> DataFrame:
+def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """The statistics, distance and verdict of every row."""
-    return _judged(docs, least, cut).drop("key", "lang", "source")
+    return _judged(docs, cut).drop("key", "lang", "source")
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """rows with the names of their language and source (g), language (wide), and all."""
+    name = lambda *c: F.to_json(F.array(*c))
+    return rows.withColumns({"g": name("lang", "source"), "wide": name("lang"), "all": F.lit("*")})
+
+
+def _exploded(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each level that a row is in, as g."""
+    return rows.select(*columns, F.explode(F.array(*_LEVEL_NAMES)).alias("g"))
 
 
-def _judged(docs: DataFrame, least: int = LEAST, cut: float = CUT, keyed: bool = False) -> DataFrame:
+def _judged(docs: DataFrame, cut: float = CUT, keyed: bool = False) -> DataFrame:
     """judge() with key, lang and source."""
-    rows = written(measured(docs, keyed))
-    grouped = written(_grouped(rows, least))
-    known = estimates(grouped)
-    enough = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    at = _attached(grouped, known.join(enough, "g"), "g").withColumn("d", _distance())
+    rows = written(_levels(measured(docs, keyed)))
+    # Read again and again, so dealt over all cores once.
+    every = written(_exploded(rows, "doc_id", *_NAMES).repartition(2 * docs.sparkSession.sparkContext.defaultParallelism))
+    states = least_determinants(every)
+    sizes = written(every.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
+    levels = rows.select(*_LEVEL_NAMES).distinct()
+    for name in _LEVEL_NAMES:
+        levels = levels.join(sizes.select(F.col("g").alias(name), F.col("n").alias(f"n_{name}")), name)
+    levels = written(levels)
+    known = written(_shrunk(states, levels))
+    groups = sizes.count()
+    at = _attached(rows, known, groups, "g").withColumn("d", _distance()).drop("c", "w")
+    middles = written(_middles(_exploded(at, "d")))
+    drawn = levels.join(known.select("g", "dof"), "g")
+    for name in _LEVEL_NAMES:
+        drawn = drawn.join(middles.select(F.col("g").alias(name), (F.expm1(F.col("middle") / STEP)).alias(f"m_{name}")), name)
     # The median row has the median of chi-square.  The estimate of the inner rows is narrower than all
     # rows, so this is over 1 unless most rows are alike and there is no variance to scale by.
-    scale = F.greatest(F.expm1(F.col("middle") / STEP) / chi_square(0.0, F.col("dof")), F.lit(1.0))
-    distance = F.expm1(F.col("d") / STEP) / scale
+    scale = (F.col("n_all") * F.col("m_all") / chi_square(0.0, F.col("dof")) + PRIOR_ROWS) / (F.col("n_all") + PRIOR_ROWS)
+    for name in ("wide", "g"):
+        n = F.col(f"n_{name}")
+        scale = (n * F.col(f"m_{name}") / chi_square(0.0, F.col("dof")) + POOL * scale) / (n + POOL)
+    at = _attached(at, drawn.select("g", F.greatest(scale, F.lit(1.0)).alias("scale")), groups, "g")
+    distance = F.expm1(F.col("d") / STEP) / F.col("scale")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    outlier = F.coalesce(distance > chi_square(cut, F.col("dof")), F.lit(False))
+    outlier = distance > chi_square(cut, F.col("dof"))
     return at.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~outlier).alias("kept"), distance.alias("distance"), "key", "lang", "source")
 
 
