@@ -3,8 +3,8 @@
 Every text gives a vector of transformed statistics.  For each language and
 source, each language, and all rows a minimum-covariance-determinant estimate of
 centre and covariance is searched for by concentration: the share COVER of rows
-with the smallest Mahalanobis distances re-estimates both, which lowers the
-determinant, again and again until nothing changes.  There are three starts, which
+with the smallest Mahalanobis distances re-estimates both, again and again for
+as long as this lowers the determinant.  There are three starts, which
 follow from the rows alone: coordinate-wise medians and quartiles, the covariance
 of hyperbolic tangents, and that of spatial signs.  After TRIALS steps the start of
 the least determinant goes on.
@@ -164,14 +164,14 @@ def _floors() -> np.ndarray:
     return np.diag([f * f for _, f in STATISTICS])
 
 
-_STATE = "g string, k long, n long, c array<double>, v array<double>, w array<double>, dof double, det double, stamp string"
+_STATE = "g string, k long, n long, c array<double>, v array<double>, w array<double>, dof double, det double"
 
 
 def _solved(moments: DataFrame) -> DataFrame:
-    """g, k, n, c, v, w, dof, det, stamp from g, k and moments: the centre, covariance, whitening matrix, degrees of freedom, log determinant,
-    and what tells one choice of rows from another."""
+    """g, k, n, c, v, w, dof, det from g, k and moments: the centre, covariance, whitening
+    matrix, degrees of freedom and log determinant."""
     floors = _floors()
-    schema = pa.schema([("g", pa.string()), ("k", pa.int64()), ("n", pa.int64()), *((x, pa.list_(pa.float64())) for x in "cvw"), ("dof", pa.float64()), ("det", pa.float64()), ("stamp", pa.string())])
+    schema = pa.schema([("g", pa.string()), ("k", pa.int64()), ("n", pa.int64()), *((x, pa.list_(pa.float64())) for x in "cvw"), ("dof", pa.float64()), ("det", pa.float64())])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(schema)
@@ -181,7 +181,7 @@ def _solved(moments: DataFrame) -> DataFrame:
             whiten = np.linalg.inv(lower)
             dof = max(1.0, float(np.trace(whiten @ cov @ whiten.T)))
             det = round(2 * float(np.log(np.diag(lower)).sum()), 9)
-            if out.add((g, k, n, centre, cov.ravel().tolist(), whiten.ravel().tolist(), dof, det, f"{n},{s},{high},{low}")):
+            if out.add((g, k, n, centre, cov.ravel().tolist(), whiten.ravel().tolist(), dof, det)):
                 yield out.take()
         yield from out.rest()
 
@@ -265,24 +265,24 @@ def estimates(rows: DataFrame, cover: float = COVER, steps: int = STEPS) -> Data
 
 
 def least_determinants(rows: DataFrame, cover: float = COVER, trials: int = TRIALS, most: int = MOST_STEPS) -> DataFrame:
-    """The state (g, n, c, v, w, dof, det) of each group at the fixed point that the
-    best of its starts leads to."""
+    """The state (g, det, k, n, c, v, w, dof) of each group where the best of its
+    starts leads to no lower determinant."""
     groups = _groups_of(rows)
     now = written(_starts(rows, groups))
     for _ in range(trials):
         now = written(_concentrated(rows, now, groups, cover))
-    names = ("k", "n", "c", "v", "w", "dof", "stamp")
-    now = written(now.groupBy("g").agg(F.min(F.struct("det", *names)).alias("b")).select("g", "b.*"))
+    names = ("det", "k", "n", "c", "v", "w", "dof")
+    now = written(now.groupBy("g").agg(F.min(F.struct(*names)).alias("b")).select("g", "b.*"))
     done = []
     for _ in range(most - trials):
-        # Only groups that the last step changed go on.
-        step = _concentrated(rows, now, groups, cover).join(F.broadcast(now.select("g", F.col("stamp").alias("before"))), "g")
-        step = written(step)
-        done.append(step.where("stamp = before"))
-        now = step.where("stamp != before")
+        # Only groups of which the last step lowered the determinant go on.
+        last = now.select("g", F.struct(*names).alias("last"))
+        step = written(_concentrated(rows, now, groups, cover).join(F.broadcast(last) if groups <= BROADCAST_GROUPS else last, "g"))
+        done.append(step.where(F.col("det") >= F.col("last.det")).select("g", "last.*"))
+        now = step.where(F.col("det") < F.col("last.det")).select("g", *names)
         if not now.limit(1).count():
             break
-    return written(reduce(DataFrame.unionByName, [*done, now]).drop("before"))
+    return written(reduce(DataFrame.unionByName, [*done, now]))
 
 
 def _drawn(n: float, own: np.ndarray, weight: float, to: np.ndarray) -> np.ndarray:

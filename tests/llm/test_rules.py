@@ -276,3 +276,85 @@ def test_covariance_decides(spark):
     rows.append((300, " ".join(word().title() if j % 10 == 0 else word() for j in range(400)) + "."))
     gone = {r.doc_id for r in quality_rules.judge(frame(spark, rows)).collect() if not r.kept}
     assert 300 in gone and len(gone) < 15
+
+
+def verdict_truth(rows):
+    """Distances and verdicts of (lang, source, n_words, n_repeat_words, vector) by numpy alone."""
+    unit, step, d = quality_rules.UNIT, quality_rules.STEP, len(quality_rules.STATISTICS)
+    floors, prior = (np.diag(np.square(x)) for x in ([f for _, f in quality_rules.STATISTICS], quality_rules.PRIOR))
+    vectors = np.array([r[4] for r in rows], np.float64) / unit
+    half = lambda x: np.sign(x) * np.floor(np.abs(x) + 0.5)
+    far = lambda x, c, w: half(np.log1p((((x - c) @ w.T) ** 2).sum(1)) * step)
+    whiten = lambda v: np.linalg.inv(np.linalg.cholesky(v))
+
+    def moved(x, c, w):
+        at = far(x, c, w)
+        own = x[at <= np.percentile(at, 100 * quality_rules.COVER)]
+        v = np.cov(own.T, bias=True).reshape(d, d) if len(own) > 1 else np.zeros((d, d))
+        return round(np.linalg.slogdet(v + floors)[1], 9), own.mean(0), v
+
+    def estimate(x):
+        q = np.percentile(half(x * unit / 10) * 10, [25, 50, 75], axis=0) / unit
+        w = np.diag(1 / np.sqrt(((q[2] - q[0]) / 1.349) ** 2 + np.diag(floors)))
+        z = (x - q[1]) @ w
+        length = np.sqrt((z * z).sum(1, keepdims=True))
+        t, u = half(np.tanh(z) * unit) / unit, half(np.divide(z, length, out=np.zeros_like(z), where=length > 0) * unit) / unit
+        shapes = [np.cov(t.T, bias=True).reshape(d, d) if len(t) > 1 else np.zeros((d, d)), u.T @ u / len(u)]
+        found = []
+        for start in (w, *(whiten(m + 1e-6 * np.eye(d)) @ w for m in shapes)):
+            c, own = q[1], start
+            for _ in range(quality_rules.TRIALS):
+                det, c, v = moved(x, c, own)
+                own = whiten(v + floors)
+            found.append((det, c, v))
+        now = min(found, key=lambda s: s[0])
+        for _ in range(quality_rules.MOST_STEPS):
+            new = moved(x, now[1], whiten(now[2] + floors))
+            if new[0] >= now[0]:
+                break
+            now = new
+        return now[1:]
+
+    keys = [[(r[0], r[1]), (r[0],), ()] for r in rows]
+    groups = {}
+    for k, own in enumerate(keys):
+        for g in own:
+            groups.setdefault(g, []).append(k)
+    states = {g: estimate(vectors[at]) for g, at in groups.items()}
+    n = {g: len(at) for g, at in groups.items()}
+    drawn = lambda m, own, weight, to: (m * own + weight * to) / (m + weight)
+    params = {}
+    for own in {tuple(k) for k in keys}:
+        c, v = states[()]
+        v = drawn(n[()], v, quality_rules.PRIOR_ROWS, prior)
+        for g in (own[1], own[0]):
+            c, v = drawn(n[g], states[g][0], quality_rules.POOL, c), drawn(n[g], states[g][1], quality_rules.POOL, v)
+        w = whiten(v + floors)
+        params[own[0]] = c, w, max(1.0, np.trace(w @ v @ w.T))
+    at = np.array([far(vectors[k : k + 1], *params[own[0]][:2])[0] for k, own in enumerate(keys)])
+    middle = {g: np.expm1(np.percentile(at[own], 50) / step) for g, own in groups.items()}
+    out = []
+    for k, (row, own) in enumerate(zip(rows, keys, strict=True)):
+        dof = params[own[0]][2]
+        usual = quality_rules.chi_square(0.0, dof)
+        scale = drawn(n[()], middle[()] / usual, quality_rules.PRIOR_ROWS, 1.0)
+        for g in (own[1], own[0]):
+            scale = drawn(n[g], middle[g] / usual, quality_rules.POOL, scale)
+        distance = np.expm1(at[k] / step) / max(scale, 1.0)
+        failed = row[2] < 10 or 100 * row[3] > 20 * row[2]
+        out.append((distance, not failed and distance <= quality_rules.chi_square(quality_rules.CUT, dof)))
+    return out
+
+
+def test_verdicts_against_numpy(spark):
+    """Distances and verdicts of all rows: starts, least determinant, groups of any
+    size drawn to larger ones, scale and cut."""
+    for docs in (some(spark, sf="0.01").where("doc_id < 500"), odd(spark)):
+        rows = quality_rules.written(quality_rules._levels(quality_rules.measured(docs))).collect()
+        truth = verdict_truth([(r.lang, r.source, r.n_words, r.n_repeat_words, [r[x] for x in quality_rules._NAMES]) for r in rows])
+        want = sorted(((r.doc_id, r.n_words, *t) for r, t in zip(rows, truth, strict=True)), key=repr)
+        got = sorted(((r.doc_id, r.n_words, r.distance, r.kept) for r in quality_rules.judge(docs).collect()), key=lambda r: repr((*r[:2], 0)))
+        want.sort(key=lambda r: repr((*r[:2], 0)))
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        off = [(a, b) for a, b in zip(got, want, strict=True) if a[3] != b[3] or abs(a[2] - b[2]) > 1e-3 * (1 + b[2])]
+        assert not off, off[:5]
