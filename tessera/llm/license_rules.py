@@ -70,6 +70,12 @@ SENTENCES = {
     "ccbync-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "ccbynd-notice": "Licensed under CC BY-ND 4.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-details": "See the GNU Lesser General Public License for more details.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
+    "mpl11-notice": 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.',
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
@@ -84,7 +90,8 @@ RULES = [
     ("BSD", ["bsd-notice"]), ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]), ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("CC-BY-4.0", ["ccby-notice"]), ("CC-BY-4.0", ["ccby-long"]), ("CC-BY-SA-4.0", ["ccbysa-notice"]), ("CC-BY-SA-4.0", ["ccbysa-long"]),
     ("CC-BY-NC-4.0", ["ccbync-notice"]), ("CC-BY-NC-4.0", ["ccbync-long"]), ("CC-BY-ND-4.0", ["ccbynd-notice"]),
-    ("Unlicense", ["unlicense"]), ("MPL-2.0", ["mpl-notice"]),
+    ("Unlicense", ["unlicense"]), ("MPL-2.0", ["mpl-notice"]), ("MPL-1.1", ["mpl11-notice"]),
+    ("LGPL-2.1", ["lgpl21-free", "lgpl-warranty", "lgpl-details"]), ("AGPL-3.0", ["agpl3-free", "gpl-warranty", "agpl-details"]),
 ]
 
 #: A compiled dictionary is a literal of the plan; more sentences than this are refused.
@@ -170,25 +177,43 @@ def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """SQL by places in the joined text, from the known texts as they are written."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    ids, sequences = compiled(SENTENCES, RULES)
+    known = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in SENTENCES.items())
+    rules = ", ".join(f"({quote(licence)}, {quote(',' + ','.join(names) + ',')})" for licence, names in RULES)
     return f"""
-WITH known(sentence, id) AS (VALUES {", ".join(f"({quote(s)}, {k})" for s, k in ids.items())}),
-rules(licence, seq) AS (VALUES {", ".join(f"({quote(a)}, {quote(b)})" for a, b in sequences)}),
+WITH RECURSIVE known AS (
+  SELECT name, trim(regexp_replace(lower(given), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM (VALUES {known}) AS t(name, given)),
+rules(licence, seq) AS (VALUES {rules}),
 cut AS (
-  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS parts
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?:])[ \\t\\x0B\\f\\r]+\\n?', '\\1' || chr(10), 'g'), chr(10)) AS parts
   FROM documents),
-each AS (
-  SELECT doc_id, unnest(range(1, len(parts) + 1)) AS place, unnest(parts) AS part FROM cut),
-hit AS (
-  SELECT doc_id, place, id FROM each JOIN known
-  ON sentence = trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))),
+plain AS (
+  SELECT doc_id, i, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) AS part
+  FROM (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM cut)),
+marked AS (SELECT doc_id, i, CASE WHEN part = '' THEN '|' ELSE part END AS part FROM plain),
+placed AS (
+  SELECT doc_id, i, part, sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(part) AS first FROM marked),
+whole AS (SELECT doc_id, string_agg(part, ' ' ORDER BY i) AS line FROM marked GROUP BY doc_id),
+begun AS (
+  SELECT e.doc_id, e.i, e.first, name, sentence FROM placed e JOIN known ON starts_with(sentence || ' ', e.part || ' ')),
+met AS (
+  SELECT b.doc_id, b.i, b.first + length(sentence) AS past, name, length(sentence) AS size
+  FROM begun b JOIN whole w ON b.doc_id = w.doc_id WHERE substr(w.line, CAST(b.first AS BIGINT), length(sentence)) = sentence),
+longest AS (
+  SELECT m.doc_id, m.i, e.i AS last, m.name FROM met m JOIN placed e ON m.doc_id = e.doc_id AND m.past = e.first + length(e.part)
+  QUALIFY row_number() OVER (PARTITION BY m.doc_id, m.i ORDER BY m.size DESC) = 1),
+taken AS (
+  SELECT doc_id, i, last, name, 1 AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM longest) WHERE r = 1
+  UNION ALL
+  SELECT doc_id, i, last, name, n + 1 FROM (
+    SELECT l.doc_id, l.i, l.last, l.name, t.n, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.i) AS r
+    FROM taken t JOIN longest l ON l.doc_id = t.doc_id AND l.i > t.last) WHERE r = 1),
 line AS (
-  SELECT doc_id, count(*) AS n, ',' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY place) || ',' AS ids
-  FROM hit GROUP BY doc_id),
+  SELECT doc_id, count(*) AS n, ',' || string_agg(name, ',' ORDER BY n) || ',' AS names FROM taken GROUP BY doc_id),
 named AS (
   SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licenses
-  FROM line JOIN rules ON contains(ids, seq) GROUP BY doc_id)
+  FROM line JOIN rules ON contains(names, seq) GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(line.n, 0) AS BIGINT) AS n_sentences, coalesce(named.licenses, '') AS licenses
 FROM documents d LEFT JOIN line ON d.doc_id = line.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
 """

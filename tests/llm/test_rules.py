@@ -358,3 +358,24 @@ def test_verdicts_against_numpy(spark):
         assert [x[:2] for x in got] == [x[:2] for x in want]
         off = [(a, b) for a, b in zip(got, want, strict=True) if a[3] != b[3] or abs(a[2] - b[2]) > 1e-3 * (1 + b[2])]
         assert not off, off[:5]
+
+
+def test_licenses_that_are_nearly_known(spark, duck):
+    """Versions, kin and cuts that differ are told apart, by the operator and by the SQL."""
+    s = license_rules.SENTENCES
+    wrap = lambda text, mark="# ", width=64: "\n".join(mark + x for x in textwrap.wrap(text, width))
+    lesser, affero = (" ".join(s[k] for k in names) for names in (("lgpl21-free", "lgpl-warranty", "lgpl-details"), ("agpl3-free", "gpl-warranty", "agpl-details")))
+    texts = {
+        1: s["mpl-notice"].replace("2.0", "1.1"), 2: s["mpl11-notice"], 3: wrap(s["mpl11-notice"]), 4: s["mpl11-notice"].replace("1.1", "2.0"),
+        5: s["apache-notice"].replace("2.0", "1.1"), 6: s["apache-header"].replace("2.0", "1.1"), 7: wrap(lesser), 8: lesser.replace("2.1", "3"),
+        9: wrap(affero, " * "), 10: affero.replace("Affero ", ""), 11: affero.replace("see", "look"), 12: " ".join([s["gpl3-free"], s["gpl-warranty"], s["agpl-details"]]),
+        13: s["ccby-notice"].replace("4.0", "3.0"), 14: s["gpl2-notice"].replace("2", "3"), 15: s["bsd-notice"] + " " + s["isc-notice"] + "\n\n" + s["mit-notice"], 16: None, 17: "",
+        18: "Licensed under the\n\nMIT License.", 19: "Licensed under\nthe MIT License", 20: s["as-is"] + "\n" + s["as-is"],
+    }
+    want = {1: "", 2: "MPL-1.1", 3: "MPL-1.1", 4: "", 5: "", 6: "", 7: "LGPL-2.1", 8: "", 9: "AGPL-3.0", 10: "GPL-3.0", 11: "AGPL-3.0", 12: "", 13: "", 14: "GPL-3.0", 15: "BSD,ISC,MIT", 16: "", 17: "", 18: "", 19: "MIT", 20: ""}
+    got = sorted(tuple(r) for r in license_rules.scan(frame(spark, list(texts.items()))).collect())
+    assert {r[0]: r[2] for r in got} == want
+    con = duck.cursor()
+    con.execute("CREATE TEMP TABLE given (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO given VALUES (?, ?)", list(texts.items()))
+    assert sorted(con.execute(ORACLES["op7_license_rules"].replace("documents", "given")).fetchall()) == got
