@@ -379,3 +379,36 @@ def test_licenses_that_are_nearly_known(spark, duck):
     con.execute("CREATE TEMP TABLE given (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO given VALUES (?, ?)", list(texts.items()))
     assert sorted(con.execute(ORACLES["op7_license_rules"].replace("documents", "given")).fetchall()) == got
+
+
+def test_risk_against_its_definition():
+    """The non-negative unbiased risk summed row by row, and its slopes by differences."""
+    rng = np.random.default_rng(3)
+    loss = lambda z, y: float(np.log1p(np.exp(-y * z)))
+    for shift in (-2.0, 2.0):  # the bracket is negative at one of them
+        zp, zu = rng.normal(shift, 1, 30), rng.normal(-abs(shift), 1, 50)
+        for prior in (0.2, 0.7):
+            plus = sum(loss(z, 1) for z in zp) / 30
+            bracket = sum(loss(z, -1) for z in zu) / 50 - prior * sum(loss(z, -1) for z in zp) / 30
+            risk, dp, du = pu_quality.non_negative_risk(zp, zu, prior)
+            assert abs(risk - (prior * plus + max(0.0, bracket))) < 1e-9
+            aim = (lambda p, u, q=prior: q * np.logaddexp(0, -p).mean() + np.logaddexp(0, u).mean() - q * np.logaddexp(0, p).mean()) if bracket >= 0 else (lambda p, u, q=prior: q * np.logaddexp(0, p).mean() - np.logaddexp(0, u).mean())
+            for z, d, own in ((zp, dp, 0), (zu, du, 1)):
+                for k in range(5):
+                    up, down = ([zp.copy(), zu.copy()] for _ in range(2))
+                    up[own][k] += 1e-6
+                    down[own][k] -= 1e-6
+                    assert abs((aim(*up) - aim(*down)) / 2e-6 - d[k]) < 1e-6
+
+
+def test_prior_without_negatives(spark):
+    rng = np.random.default_rng(1)
+    draw = lambda n, share: np.where(rng.random((n, 1)) < share, rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (n, 4)))
+    for share in (0.2, 0.5, 0.9):
+        assert abs(pu_quality.estimated_prior(draw(3000, 1), draw(3000, share)) - share) < 0.06
+    scores, others = rng.random(40), rng.random(60)
+    plain = min(((np.mean(others >= c) + sum(np.sqrt(np.log(40) / 2 / n) for n in (40, 60))) / np.mean(scores >= c), np.mean(others >= c) / np.mean(scores >= c)) for c in scores)
+    assert abs(pu_quality.least_ratio(scores, others) - plain[1]) < 1e-9
+    docs, labels = some(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    one, two = ({(r.doc_id, r.score) for r in pu_quality.score(docs, x).collect()} for x in (labels, labels.where("quality = 1")))
+    assert one == two  # labels of 0 are not used
