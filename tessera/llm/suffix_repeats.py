@@ -62,7 +62,7 @@ MIN, K = 400, 64
 #: Words of a passage that deduplicate() also takes out, and bytes of a word's code.
 WORDS, CODE = 51, 8
 #: Classes of a group that one task sorts, and places of a block by which larger ones are split, again and again.
-GROUP, BLOCKS = 250, (16, 4, 1)
+GROUP, BLOCKS = 250, (64, 16, 4, 1)
 #: Bytes of text that are anchored at once.
 CHUNK = 1 << 19
 #: Ids that may be broadcast to thin a scan (8 MB of them); more are joined.
