@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,10 +24,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent, as in tests on one machine, is a local
-    folder made."""
+    Only where that setting is absent on one machine, as in tests, is a local
+    folder made; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
         root = _own_folder[0]
