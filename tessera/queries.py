@@ -91,7 +91,7 @@ _add("alias_qualified", "SELECT c.c_name, customer.c_custkey AS id FROM customer
 
 _add("inner_join", "SELECT o_orderkey, c_name, c_mktsegment FROM customer c INNER JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT o_orderkey, c_name, c_mktsegment FROM customer JOIN orders ON c_custkey = o_custkey")
 _add("inner_join_3way", "SELECT n_name, COUNT(*) AS n, MAX(o_orderkey) AS last FROM orders INNER JOIN customer ON o_custkey = c_custkey INNER JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", "SELECT n_name, count(*) AS n, max(o_orderkey) AS last FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
-_add("join_where", "SELECT o.o_orderkey, c.c_name FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING' AND o.o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 50", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 50")
+_add("join_where", "SELECT o.o_orderkey, c.c_name FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING' AND o.o_orderstatus = 'O'", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'O'")
 _add("theta_join", "SELECT n_name, r_name FROM nation INNER JOIN region ON n_regionkey < r_regionkey", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey")
 _add("join_star_labels", "SELECT * FROM nation n INNER JOIN region ON n.n_regionkey = region.r_regionkey", """SELECT CAST(n_nationkey AS BIGINT) AS "n.n_nationkey", n_name AS "n.n_name", CAST(n_regionkey AS BIGINT) AS "n.n_regionkey", CAST(r_regionkey AS BIGINT) AS "region.r_regionkey", r_name AS "region.r_name" FROM nation JOIN region ON n_regionkey = r_regionkey""")
 
@@ -187,6 +187,36 @@ def _dml_insert_many(spark: SparkSession, sf_dir: str) -> DataFrame:
         return db.rows_at("t")
 
 
+_STORED = "SELECT o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status FROM orders"
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> Database:
+    """A table whose statements write more rows than a driver holds."""
+    db = Database(spark, scratch_folder(spark))
+    Session(db).execute("CREATE TABLE o (id INT PRIMARY KEY, customer INT, status TEXT)")
+    db.load("o", external(spark, "orders", f"{sf_dir}/orders.parquet", "o_orderkey")[1].selectExpr("o_orderkey", "o_custkey", "o_orderstatus"))
+    return db
+
+
+def _large_dml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements on most rows of a table, in one transaction and in several."""
+    with _orders(spark, sf_dir) as db:
+        session = Session(db)
+        session.execute("BEGIN; UPDATE o SET status = 'open' WHERE status = 'O'; DELETE FROM o WHERE customer < 30; COMMIT")
+        session.execute("UPDATE o SET customer = id WHERE status = 'open'; DELETE FROM o WHERE status = 'P'")
+        return session.dataframe("SELECT * FROM o")
+
+
+def _large_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader's view of a large table under updates, with a later reader's beside it."""
+    with _orders(spark, sf_dir) as db:
+        reader, writer = Session(db), Session(db)
+        reader.execute("BEGIN")
+        writer.execute("UPDATE o SET customer = 0 WHERE status = 'F'; DELETE FROM o WHERE status = 'O'")
+        before = reader.dataframe("SELECT * FROM o").selectExpr("'before' AS seen", "*")
+        return before.unionByName(writer.dataframe("SELECT * FROM o").selectExpr("'after' AS seen", "*"))
+
+
 def _snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reader's view does not change under it."""
     with _seeded(spark, sf_dir) as db:
@@ -301,3 +331,6 @@ _add("kv_iterate", lambda s, d: kv.iterate(_log(s, d)), f"SELECT key, value FROM
 _add("kv_seek", lambda s, d: kv.seek(_log(s, d), 50), f"SELECT key, value FROM ({_NEWEST}) WHERE key >= 50 AND value <> 'click'")
 _add("kv_snapshot", lambda s, d: kv.live(_log(s, d), 400), "SELECT user_id AS key, arg_max(event_type, event_id) AS value FROM events WHERE event_id <= 400 GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'click'")
 _add("kv_compact", lambda s, d: kv.compact(_log(s, d)), f"SELECT key, seq, value = 'click' AS deleted, value FROM ({_NEWEST})")
+
+_add("dml_large", _large_dml, f"WITH o AS ({_STORED}) SELECT id, CASE WHEN status = 'O' THEN id ELSE customer END AS customer, CASE WHEN status = 'O' THEN 'open' ELSE status END AS status FROM o WHERE customer >= 30 AND status <> 'P'")
+_add("snapshot_large", _large_snapshot, f"WITH o AS ({_STORED}) SELECT 'before' AS seen, * FROM o UNION ALL SELECT 'after', id, CASE WHEN status = 'F' THEN 0 ELSE customer END, status FROM o WHERE status <> 'O'")

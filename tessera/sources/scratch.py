@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _own: list[str] = []
 
 def scratch_folder(spark: SparkSession) -> str:
     """Under spark.checkpoint.dir, which all executors share; a local folder
-    only where that is not set, as in tests on one machine."""
+    only where that is not set on one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="tessera-store-"))
         root = _own[0]

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,11 +76,13 @@ def buffered(spark: SparkSession, schema: TableSchema, rows: Sequence[tuple[tupl
 
 
 def newest(versions: DataFrame, key: str) -> DataFrame:
-    """The newest version of each key, tombstones too.  The window is keyed by
-    the table's key, through which Catalyst pushes predicates on the key and
-    prunes columns."""
-    last = Window.partitionBy(key).orderBy(F.col(TS).desc(), F.col(SEQ).desc())
-    return versions.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+    """The newest version of each key, tombstones too.  An aggregate of one value
+    a column: it combines before the shuffle, so a key with very many versions
+    meets as one row a task; Catalyst prunes the columns that aren't read and
+    pushes predicates on the key through it."""
+    last = F.struct(TS, SEQ)
+    found = versions.groupBy(key).agg(*(F.max_by(c, last).alias(c) for c in versions.columns if c != key))
+    return found.select(versions.columns)
 
 
 def snapshot(spark: SparkSession, schema: TableSchema, files: Sequence[File], own: DataFrame | None = None) -> DataFrame:

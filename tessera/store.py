@@ -18,6 +18,7 @@ import os
 import socket
 import threading
 import uuid
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -34,7 +35,7 @@ from .status import Conflict, InvalidArgument, IOErr, NotFound
 OWN = (1 << 62) - 1
 #: Rows that a statement may hold on the driver; beyond, they are staged as files.
 SMALL = 1000
-#: Commits on a table after which compaction is due.
+#: Files of changes after a table's base with which a commit compacts it.
 COMPACT_AFTER = 20
 
 
@@ -288,6 +289,17 @@ class Database:
             self._record(self._next_txn(), {table.id: [{"path": path, "fresh": False, "base": True, "rows": -1}]})
             return True
 
+    def compact_if_due(self, name: str) -> None:
+        """compact() once reads would have more than COMPACT_AFTER files of changes
+        to combine.  The commit before it stands whatever becomes of this."""
+        table = self._own(name)
+        since = next((k for k, f in enumerate(reversed(table.files)) if f.base), len(table.files))
+        if since > COMPACT_AFTER:
+            try:
+                self.compact(name)
+            except Exception as e:
+                warnings.warn(f"{name} was not compacted: {e}", stacklevel=2)
+
     def _next_txn(self) -> int:
         self.next_txn += 1
         self.ended[self.next_txn - 1] = "Committed"
@@ -546,6 +558,8 @@ class Transaction:
                 self._end("Aborted")
                 raise
             self._end("Committed")
+            for name in self.writes:
+                self.db.compact_if_due(name)
 
     def abort(self) -> None:
         with self.db.lock:

@@ -167,3 +167,19 @@ def test_random_history(spark, tmp_path, seed):
     txn = db.begin()
     assert list(txn.scan("t", 2, 5)) == sorted((k, v) for k, v in model.items() if 2 <= k < 5)
     db.close()
+
+
+def test_commits_compact(db, spark, monkeypatch):
+    """A commit that makes too many files of changes writes a new base; rows and older views stay."""
+    from tessera import store
+
+    monkeypatch.setattr(store, "COMPACT_AFTER", 3)
+    Session(db).execute("CREATE TABLE much (id INT PRIMARY KEY, v INT)")
+    session, then = Session(db), None
+    for k in range(6):
+        session.execute(f"INSERT INTO much VALUES ({k}, 0)" if k < 3 else f"UPDATE much SET v = {k}")
+        then = then or (db.next_ts - 1 if k == 2 else None)
+    files = db._own("much").files
+    assert any(f.base for f in files) and not files[0].base
+    assert sorted(session.execute("SELECT * FROM much").rows) == [(0, 5), (1, 5), (2, 5)]
+    assert sorted(tuple(r) for r in db.rows_at("much", then).collect()) == [(0, 0), (1, 0), (2, 0)]
