@@ -5,8 +5,8 @@ vocabulary allows it, else 4) fill one or more independent Zstandard frames of
 at most FRAME_IDS ids; no frame holds two documents, so a reader decompresses
 only the documents asked for.  Each frame carries Zstandard's own content
 checksum.  Then follow two skippable frames: the document index (doc_id i64,
-null flag u8, first frame u32, ids u64 of each document, and a crc32 of all
-that), and the seek table of the Zstandard seekable format: for each frame its
+null flag u8, first frame u32, ids u64 of each document, then the bytes of an id
+u8, and a crc32 of all that), and the seek table of the Zstandard seekable format: for each frame its
 compressed size, decompressed size and the low 32 bits of the XXH64 of its
 content, the number of frames, a descriptor byte (0x80: checksums), and the
 magic number 0x8F92EAB1.  A file is read from its end: footer, seek table,
@@ -63,8 +63,8 @@ def pack_frames(ids: bytes, width: int, compressor: zstandard.ZstdCompressor) ->
 class ShardWriter:
     """Appends documents' frames to a file; close() writes index and seek table."""
 
-    def __init__(self, sink):
-        self.sink, self.seek, self.index, self.frames, self.ids = sink, [], [], 0, 0
+    def __init__(self, sink, width: int = 4):
+        self.width, self.sink, self.seek, self.index, self.frames, self.ids = width, sink, [], [], 0, 0
 
     def add(self, doc_id: int | None, n: int, frames: bytes, entries: bytes) -> None:
         self.sink.write(frames)
@@ -75,6 +75,7 @@ class ShardWriter:
 
     def close(self) -> None:
         index, seek = b"".join(self.index), b"".join(self.seek)
+        index += struct.pack("<B", self.width)
         index += struct.pack("<I", zlib.crc32(index))
         self.sink.write(struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index)
         seek += struct.pack("<IBI", self.frames, 0x80, SEEKABLE_MAGIC)
@@ -82,10 +83,11 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Random access to the documents of one file."""
+    """Random access to the documents of one file; width: bytes of an id, which
+    the file must agree with where it is given."""
 
-    def __init__(self, source, width: int):
-        self.source, self.width = source, width
+    def __init__(self, source, width: int | None = None):
+        self.source = source
         end = source.seek(0, 2)
         n, descriptor, magic = struct.unpack("<IBI", self._at(end - 9, 9))
         if magic != SEEKABLE_MAGIC or descriptor != 0x80:
@@ -101,7 +103,9 @@ class ShardReader:
         kind, held = struct.unpack("<II", self._at(at, 8))
         if kind != SKIPPABLE_INDEX or held != len(index) or zlib.crc32(index[:-4]) != struct.unpack("<I", index[-4:])[0]:
             raise ValueError("damaged index")
-        self.index = np.frombuffer(index[:-4], _INDEX)
+        self.index, self.width = np.frombuffer(index[:-5], _INDEX), index[-5]
+        if self.width not in (2, 4) or width not in (None, self.width):
+            raise ValueError("ids of another width")
         self._unpack = zstandard.ZstdDecompressor().decompress
 
     def _at(self, at: int, n: int) -> bytes:
@@ -173,7 +177,7 @@ def write_frames(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
                     yield finish()
                 now, first = shard, f"{root}/.{shard}-{uuid.uuid4().hex}"
                 sink = fs.open_output_stream(first)
-                writer = ShardWriter(sink)
+                writer = ShardWriter(sink, width)
             writer.add(doc_id, count, frames, entries)
         if writer:
             yield finish()
@@ -181,6 +185,11 @@ def write_frames(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
     ready = docs.mapInArrow(framed, "shard long, doc_id long, n long, crc long, frames binary, entries binary")
     dealt = ready.repartitionById(len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "crc")
     found = written(dealt.select("shard", "doc_id", "n", "frames", "entries").mapInArrow(write, "shard long, file string, n_docs long, n_ids long"))
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    if shards and n:  # what failed tasks began
+        for info in fs.get_file_info(pyarrow.fs.FileSelector(root)):
+            if info.base_name.startswith(".") and info.is_file:
+                fs.delete_file(info.path)
     # One row for each shard file.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return written(found.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), f"{folder}/manifest")
@@ -191,7 +200,7 @@ def _vocabulary(definition: str, *ids: int) -> int:
     return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens") or []), *ids])
 
 
-def read_frames(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
+def read_frames(spark: SparkSession, folder: str) -> DataFrame:
     """Every document of the files: doc_id, start, n_tokens, ids_crc32."""
     manifest = spark.read.parquet(f"{folder}/manifest")
 
@@ -200,7 +209,7 @@ def read_frames(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
         out = Out(_READ)
         for shard, file, start in rows_of(batches, "shard", "file", "start"):
             with fs.open_input_file(f"{root}/{file}") as source:
-                reader, at = ShardReader(source, width), start
+                reader, at = ShardReader(source), start
                 for k in range(len(reader.index)):
                     doc_id, ids = reader.document(k)
                     if out.add((doc_id, at, len(ids) // 4, zlib.crc32(ids), shard)):

@@ -145,3 +145,17 @@ def _want(library, r):
     own = library.encode(r.text or "", add_special_tokens=False).ids
     text = library.decode(own, skip_special_tokens=False)
     return -1 if r.doc_id is None else r.doc_id, len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_files_say_the_width_of_their_ids():
+    compressor = zstandard.ZstdCompressor(level=3, write_checksum=True)
+    many = np.array([1, 70_000, 3], "<u4")
+    for width, given in ((2, many % 60_000), (4, many)):
+        sink = io.BytesIO()
+        writer = token_frames.ShardWriter(sink, width)
+        writer.add(5, 3, *token_frames.pack_frames(given.astype("<u4").tobytes(), width, compressor))
+        writer.close()
+        reader = token_frames.ShardReader(io.BytesIO(sink.getvalue()))
+        assert reader.width == width and reader.document(0) == (5, given.astype("<u4").tobytes())
+        with pytest.raises(ValueError):
+            token_frames.ShardReader(io.BytesIO(sink.getvalue()), 6 - width)
