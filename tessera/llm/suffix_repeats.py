@@ -187,12 +187,18 @@ def maximal_repeats(members: list[tuple[bytes, int]], least: int = MIN) -> Itera
 
 
 def group_repeats(members: list[tuple[bytes, int]], least: int = MIN) -> list[list[tuple[int, int]]]:
-    """The spans of each context, from its anchor, that a maximal repeat covers."""
-    spans: list[list[tuple[int, int]]] = [[] for _ in members]
+    """The spans of each context, from its anchor, that a maximal repeat covers.
+
+    All of them hold the anchor, so a context's are one: only its ends are held,
+    as the members of nested intervals can be very many."""
+    before, after = [-1] * len(members), [0] * len(members)
     for extension, depth, group in maximal_repeats(members, least):
         for m in group:
-            spans[m].append((-extension, depth))
-    return [merged(s) for s in spans]
+            if extension > before[m]:
+                before[m] = extension
+            if depth > after[m]:
+                after[m] = depth
+    return [[(-b, a)] if b >= 0 else [] for b, a in zip(before, after, strict=True)]
 
 
 _DOC = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("h", pa.list_(pa.int64())), ("e", pa.list_(pa.int64())), ("p", pa.list_(pa.int64())), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64()))])
