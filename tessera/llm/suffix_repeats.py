@@ -34,7 +34,8 @@ like others.  An empty table gives no rows.
 
 A passage can also be measured in words: the same search then runs over texts in
 which every word is a code of CODE bytes, its hash, so that WORDS words are as many
-bytes whatever their lengths are and whatever white space parts them.
+bytes whatever their lengths are and whatever white space parts them.  All places
+and lengths are then whole words (a coding's unit).
 
 dig() gives what is removed of each row, deduplicate() the rows with what is
 left of their texts, and repeat_groups() the maximal repeats themselves with all
@@ -47,6 +48,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,21 @@ _B = 0x9E3779B97F4A7C15 | 1
 _POSITION = 20
 
 
+class Coding(NamedTuple):
+    """How a text becomes bytes, and of how many of them a place is a multiple."""
+
+    of: Callable[[str], bytes]
+    unit: int
+
+
+def in_words(text: str) -> bytes:
+    """The codes of a text's words, which ASCII white space separates."""
+    return word_hashes(text.encode().split()).tobytes()
+
+
+BYTEWISE, WORDWISE = Coding(str.encode, 1), Coding(in_words, CODE)
+
+
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A value for each byte, and powers of the base and of its inverse."""
@@ -85,9 +102,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k bytes or codes."""
     byte, up, down = _tables()
+    value = byte[data] if data.dtype == np.uint8 else mixed(data)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(value * up[: len(data)], out=sums[1:])
     return mixed((sums[k:] - sums[:-k]) * down[: len(data) - k + 1])
 
 
@@ -102,12 +121,14 @@ def _window_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: bytes, least: int = MIN, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: bytes, least: int = MIN, k: int = K, unit: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and place of each anchor of a text, and its first and last window."""
     found: list[tuple[np.ndarray, ...]] = []
-    last = len(data) - least
+    units = np.frombuffer(data, np.uint8 if unit == 1 else np.uint64)
+    least, k = least // unit, k // unit
+    last = len(units) - least
     for at in range(0, last + 1, CHUNK):
-        part = np.frombuffer(data, np.uint8, min(CHUNK + least - 1, len(data) - at), at)
+        part = units[at : at + CHUNK + least - 1]
         h = _gram_hashes(part, k)
         # The first of equal hashes counts, as the place is in the lowest bits.
         mask = np.uint64((1 << _POSITION) - 1)
@@ -122,12 +143,12 @@ def anchors(data: bytes, least: int = MIN, k: int = K) -> tuple[np.ndarray, np.n
         new = np.append(True, p[1:] != p[:-1])
         h, p, lo = h[new], p[new], lo[new]
         hi = np.append(hi[np.flatnonzero(new)[1:] - 1], hi[-1])
-    return h, p, lo, hi
+    return h, p * unit, lo * unit, hi * unit
 
 
-def classes(data: bytes, least: int = MIN, k: int = K) -> tuple[np.ndarray, ...]:
+def classes(data: bytes, least: int = MIN, k: int = K, unit: int = 1) -> tuple[np.ndarray, ...]:
     """anchors() with a hash of each context and of where the anchor is in it."""
-    h, p, lo, hi = anchors(data, least, k)
+    h, p, lo, hi = anchors(data, least, k, unit)
     context = [xxhash.xxh3_64_intdigest(data[a : b + least], (x - a) << 20 | b - a) for x, a, b in zip(p.tolist(), lo.tolist(), hi.tolist(), strict=True)]
     return h.view(np.int64), np.array(context, np.uint64).view(np.int64), p, lo, hi
 
@@ -156,7 +177,7 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, first))
 
 
-def maximal_repeats(members: list[tuple[bytes, int]], least: int = MIN) -> Iterator[tuple[int, int, list[int]]]:
+def maximal_repeats(members: list[tuple[bytes, int]], least: int = MIN, unit: int = 1) -> Iterator[tuple[int, int, list[int]]]:
     """For contexts (bytes, place of the anchor in them) of one anchor string:
     (left, right, members) of every maximal repeat of least bytes or more around
     the anchor, with all members that have it.
@@ -165,11 +186,12 @@ def maximal_repeats(members: list[tuple[bytes, int]], least: int = MIN) -> Itera
     extension.  Inside one, the intervals of common left extension are those
     whose members differ in the byte before, so each is left-diverse; a group
     that agrees further to the right belongs to a deeper interval."""
+    common_units = lambda x, y: shared_prefix(x, y, 0) // unit * unit
     n = len(members)
     right = [data[a:] for data, a in members]
     left = [data[:a][::-1] for data, a in members]
     order = sorted(range(n), key=right.__getitem__)
-    lcp = [shared_prefix(right[a], right[b], 0) for a, b in zip(order, order[1:], strict=False)]
+    lcp = [common_units(right[a], right[b]) for a, b in zip(order, order[1:], strict=False)]
     place, rank = [0] * n, [0] * n
     for r, m in enumerate(order):
         place[m] = r
@@ -177,22 +199,22 @@ def maximal_repeats(members: list[tuple[bytes, int]], least: int = MIN) -> Itera
         rank[m] = r
     for depth, first, last in intervals(lcp):
         near = sorted(order[first : last + 1], key=rank.__getitem__)
-        common = [shared_prefix(left[a], left[b], 0) for a, b in zip(near, near[1:], strict=False)]
+        common = [common_units(left[a], left[b]) for a, b in zip(near, near[1:], strict=False)]
         for extension, low, high in intervals(common):
             if extension + depth >= least:
                 group = near[low : high + 1]
                 ends = min(group, key=place.__getitem__), max(group, key=place.__getitem__)
-                if shared_prefix(right[ends[0]], right[ends[1]], 0) == depth:
+                if common_units(right[ends[0]], right[ends[1]]) == depth:
                     yield extension, depth, group
 
 
-def group_repeats(members: list[tuple[bytes, int]], least: int = MIN) -> list[list[tuple[int, int]]]:
+def group_repeats(members: list[tuple[bytes, int]], least: int = MIN, unit: int = 1) -> list[list[tuple[int, int]]]:
     """The spans of each context, from its anchor, that a maximal repeat covers.
 
     All of them hold the anchor, so a context's are one: only its ends are held,
     as the members of nested intervals can be very many."""
     before, after = [-1] * len(members), [0] * len(members)
-    for extension, depth, group in maximal_repeats(members, least):
+    for extension, depth, group in maximal_repeats(members, least, unit):
         for m in group:
             if extension > before[m]:
                 before[m] = extension
@@ -218,19 +240,14 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def in_words(text: str) -> bytes:
-    """The codes of a text's words, which ASCII white space separates."""
-    return word_hashes(text.encode().split()).tobytes()
-
-
-def anchored(docs: DataFrame, least: int, k: int, coded: Callable[[str], bytes] = str.encode) -> DataFrame:
+def anchored(docs: DataFrame, least: int, k: int, coding: Coding = BYTEWISE) -> DataFrame:
     """Every row with its classes; key is the SHA-256 of the text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(_DOC, rows=1024)
         for id_, doc_id, text in rows_of(batches, "id", "doc_id", "text"):
-            data = coded(text)
-            found = classes(data, least, k)
+            data = coding.of(text)
+            found = classes(data, least, k, coding.unit)
             if out.add((id_, doc_id, len(data), hashlib.sha256(text.encode()).hexdigest(), *found), 40 * len(found[0])):
                 yield out.take()
         yield from out.rest()
@@ -244,7 +261,7 @@ def thinned(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids), column, "left_semi") if ids.count() <= BROADCAST_ROWS else df
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, least: int, k: int, coded: Callable[[str], bytes] = str.encode) -> DataFrame:
+def contexts(docs: DataFrame, wanted: DataFrame, least: int, k: int, coding: Coding = BYTEWISE) -> DataFrame:
     """The context of one occurrence of each wanted class (h, e, c, hot, id)."""
     by_doc = written(wanted.groupBy("id").agg(F.to_json(F.collect_list(F.struct("h", "e", "c", "hot"))).alias("want")))
     need = thinned(docs, by_doc.select("id"), "id").join(by_doc, "id").select("text", "want")
@@ -254,8 +271,8 @@ def contexts(docs: DataFrame, wanted: DataFrame, least: int, k: int, coded: Call
 
         out = Out(_CONTEXT)
         for text, want in rows_of(batches, "text", "want"):
-            data, left = coded(text), {(w["h"], w["e"]): w for w in json.loads(want)}
-            h, e, p, lo, hi = classes(data, least, k)
+            data, left = coding.of(text), {(w["h"], w["e"]): w for w in json.loads(want)}
+            h, e, p, lo, hi = classes(data, least, k, coding.unit)
             for key, x, a, b in zip(zip(h.tolist(), e.tolist(), strict=True), p.tolist(), lo.tolist(), hi.tolist(), strict=True):
                 if w := left.pop(key, None):
                     if out.add((*key, w["c"], w["hot"], x - a, data[a : b + least]), b - a + least):
@@ -293,23 +310,23 @@ def _by_group(found: DataFrame, each: Callable[[list[tuple[bytes, int]]], Iterat
     return found.select("h", "e", "c", "at", "data").repartition("h").sortWithinPartitions("h").mapInArrow(scan, _ddl(schema))
 
 
-def _sorted_groups(found: DataFrame, least: int) -> DataFrame:
+def _sorted_groups(found: DataFrame, least: int, unit: int = 1) -> DataFrame:
     """Spans of the classes of groups that one task can sort."""
 
     def covered(members: list[tuple]) -> Iterator[tuple[int, tuple]]:
-        for m, own in enumerate(group_repeats([x[:2] for x in members], least)):
+        for m, own in enumerate(group_repeats([x[:2] for x in members], least, unit)):
             if own and members[m][2] == 1:
                 yield m, ([a for a, _ in own], [b for _, b in own])
 
     return _by_group(found, covered, _SPANS)
 
 
-def _named_groups(found: DataFrame, least: int) -> DataFrame:
+def _named_groups(found: DataFrame, least: int, unit: int = 1) -> DataFrame:
     """h, e, repeat, before, length: every maximal repeat of the groups that one
     task can sort, once for each class that has it, begun so far before the anchor."""
 
     def named(members: list[tuple]) -> Iterator[tuple[int, tuple]]:
-        for before, depth, group in maximal_repeats([x[:2] for x in members], least):
+        for before, depth, group in maximal_repeats([x[:2] for x in members], least, unit):
             data, at, _ = members[group[0]]
             name = xxhash.xxh3_128_hexdigest(data[at - before : at + depth])
             for m in group:
@@ -318,30 +335,32 @@ def _named_groups(found: DataFrame, least: int) -> DataFrame:
     return _by_group(found, named, _REPEAT)
 
 
-def _blocks(h: int, at: int, data: bytes, least: int, block: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+def _blocks(h: int, at: int, data: bytes, least: int, block: int, unit: int = 1) -> Iterator[tuple[int, int, int, int, int, bytes]]:
     """(g, f, r, size, shift, bytes) of each block of a context's windows: the
     group by the middle that its windows share, the kind by all its bytes, the
-    first window's place and the windows' number, and where the middle begins."""
+    first window's place, how far windows go from there, and where the middle begins.
+    block is in bytes, a multiple of the unit."""
     first, last = -at, len(data) - least - at  # windows, from the anchor
     for b in range(first // block, last // block + 1):
-        r1, r2, shift = max(first, b * block), min(last, b * block + block - 1), b * block + block - 1
+        r1, r2, shift = max(first, b * block), min(last, b * block + block - unit), b * block + block - unit
         own = data[r1 + at : r2 + at + least]
         g = xxhash.xxh3_64_intdigest(data[shift + at : b * block + least + at], (h ^ b * _B) & (1 << 64) - 1)
         yield _signed(g), _signed(xxhash.xxh3_64_intdigest(own, shift - r1)), r1, r2 - r1 + 1, shift, own
 
 
-def split_groups(found: DataFrame, least: int, group: int, blocks: tuple[int, ...], solve: Callable[[DataFrame, int], DataFrame] = _sorted_groups) -> tuple[DataFrame, DataFrame]:
+def split_groups(found: DataFrame, least: int, group: int, blocks: tuple[int, ...], solve: Callable[..., DataFrame] = _sorted_groups, unit: int = 1) -> tuple[DataFrame, DataFrame]:
     """Groups too large for one task, split on longer prefixes.
 
     found: h, e, c, at, data.  Returns pieces (h, e, c, g, f, r, size, shift, n:
     rows of this kind) and what solve() says of the kinds (h: g, e: f) of the
     groups of pieces; at the last block size all members of a group are equal."""
     block, *smaller = blocks
+    block *= unit
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(_PIECE, rows=8192)
         for h, e, c, at, data in rows_of(batches, "h", "e", "c", "at", "data"):
-            for g, f, r, size, shift, _ in _blocks(h, at, data, least, block):
+            for g, f, r, size, shift, _ in _blocks(h, at, data, least, block, unit):
                 if out.add((h, e, c, g, f, r, size, shift)):
                     yield out.take()
         yield from out.rest()
@@ -359,20 +378,20 @@ def split_groups(found: DataFrame, least: int, group: int, blocks: tuple[int, ..
         out = Out(pa.schema([*_MEMBER, ("hot", pa.bool_())]))
         for h, at, data, want in rows_of(batches, "h", "at", "data", "want"):
             left = {(w["g"], w["f"]): w for w in json.loads(want)}
-            for g, f, r, _, shift, own in _blocks(h, at, data, least, block):
+            for g, f, r, _, shift, own in _blocks(h, at, data, least, block, unit):
                 if w := left.pop((g, f), None):
                     if out.add((g, f, w["n"], shift - r, own, w["hot"]), len(own)):
                         yield out.take()
         yield from out.rest()
 
     members = written(need.mapInArrow(cut, f"{_ddl(_MEMBER)}, hot boolean"))
-    told = solve(members.where("not hot"), least)
+    told = solve(members.where("not hot"), least, unit)
     if smaller and members.where("hot").limit(1).count():
-        told = told.unionByName(_rejoined(*split_groups(members.where("hot"), least, group, tuple(smaller), solve), least, solve))
+        told = told.unionByName(_rejoined(*split_groups(members.where("hot"), least, group, tuple(smaller), solve, unit), least, solve))
     return pieces.join(kinds.select("g", "f", "n"), ["g", "f"]), told
 
 
-def _rejoined(pieces: DataFrame, told: DataFrame, least: int, solve: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def _rejoined(pieces: DataFrame, told: DataFrame, least: int, solve: Callable[..., DataFrame]) -> DataFrame:
     """What is told of pieces, in terms of the classes they were cut from."""
     whole, some = pieces.where("n > 1"), pieces.join(told.withColumnsRenamed({"h": "g", "e": "f"}), ["g", "f"])
     if solve is _named_groups:
@@ -393,11 +412,13 @@ def _unless_told(whole: DataFrame, told: DataFrame, key: list[str]) -> DataFrame
     return whole.join(longest, key, "left").where(F.coalesce(F.col("longest") < F.col("length"), F.lit(True)))
 
 
-def _solved(found: DataFrame, least: int, group: int, solve: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def _solved(found: DataFrame, least: int, group: int, solve: Callable[..., DataFrame], unit: int = 1) -> DataFrame:
     """solve() for all groups, the large ones (hot) split first."""
-    told = solve(found.where("not hot"), least)
+    told = solve(found.where("not hot"), least, unit)
     if found.where("hot").limit(1).count():
-        told = told.unionByName(_rejoined(*split_groups(found.where("hot"), least, group, BLOCKS, solve), least, solve))
+        # Blocks of as many bytes whatever the unit is.
+        blocks = tuple(dict.fromkeys(max(1, b // unit) for b in BLOCKS))
+        told = told.unionByName(_rejoined(*split_groups(found.where("hot"), least, group, blocks, solve, unit), least, solve))
     return told
 
 
@@ -412,30 +433,30 @@ def _met(rows: DataFrame) -> DataFrame:
     return kinds
 
 
-def _found(docs: DataFrame, kinds: DataFrame, least: int, k: int, group: int, coded: Callable[[str], bytes]) -> DataFrame:
+def _found(docs: DataFrame, kinds: DataFrame, least: int, k: int, group: int, coding: Coding = BYTEWISE) -> DataFrame:
     """The contexts of classes that share an anchor with others; hot: too many for one task."""
     # Such groups are few; classes don't meet by h to learn it.
     hot = written(kinds.where("mixed").groupBy("h").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > group).select("h", F.lit(True).alias("hot")))
     side = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     wanted = kinds.where("mixed").join(side, "h", "left").select("h", "e", "c", "id", F.coalesce("hot", F.lit(False)).alias("hot"))
-    found = written(contexts(docs, wanted, least, k, coded))
+    found = written(contexts(docs, wanted, least, k, coding))
     release(hot)
     return found
 
 
-def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP, *, coded: Callable[[str], bytes] = str.encode) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP, *, coding: Coding = BYTEWISE) -> tuple[DataFrame, DataFrame]:
     """(rows, parts).  rows: id, doc_id, n, key, whole (all of it is repeated)
     of every row; parts: id, key, spans (starts, ends) of the rows of which some
     bytes are, but which are no copies.  All lengths and places are in bytes of
     the coded text."""
     docs = _numbered(docs)
-    rows = written(anchored(docs, least, k, coded))
+    rows = written(anchored(docs, least, k, coding))
     copies = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     side = F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies
     told = written(rows.select("id", "doc_id", "n", "key").join(side, "key", "left").select("id", "doc_id", "n", "key", (F.col("m").isNotNull() & (F.col("n") >= least)).alias("whole")))
     kinds = _met(rows)
-    found = _found(docs, kinds, least, k, group, coded)
-    spans = _solved(found, least, group, _sorted_groups)
+    found = _found(docs, kinds, least, k, group, coding)
+    spans = _solved(found, least, group, _sorted_groups, coding.unit)
     known = written(spans.unionByName(kinds.where("c > 1").select("h", "e", F.lit(None).cast("array<long>").alias("from"), F.lit(None).cast("array<long>").alias("to"))))
     some = rows.join(told.where("not whole").select("id", "key"), ["id", "key"], "left_semi").where(F.size("h") > 0)
     each = some.select("id", "key", F.inline(F.arrays_zip("h", "e", "p", "lo", "hi")))
@@ -457,7 +478,7 @@ def repeat_groups(docs: DataFrame, least: int = MIN, k: int = K, group: int = GR
     docs = _numbered(docs)
     rows = written(anchored(docs, least, k))
     kinds = _met(rows)
-    found = _found(docs, kinds, least, k, group, str.encode)
+    found = _found(docs, kinds, least, k, group)
     told = _solved(found, least, group, _named_groups)
     at = rows.select("doc_id", F.inline(F.arrays_zip("h", "e", "p", "lo", "hi")))
     some = at.join(told, ["h", "e"]).select("repeat", "length", "doc_id", (F.col("p") - F.col("before")).alias("start"))
@@ -530,7 +551,7 @@ def dig(docs: DataFrame, least: int = MIN, words: int | None = None) -> DataFram
     out = all_.select("id", "key", "doc_id", F.col("n").alias("n_bytes"), F.when(F.col("whole"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(F.col("whole"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(F.col("whole"), empty).otherwise(F.coalesce("kept_sha256", "key")).alias("kept_sha256"))
     if not words:
         return out.drop("id", "key")
-    runs, more = repeats(docs, words * CODE, coded=in_words)
+    runs, more = repeats(docs, words * CODE, coding=WORDWISE)
     counted = runs.where("whole").select("id", "key", F.expr(f"n div {CODE}").alias("n_passage_words")).distinct()
     counted = written(counted.unionByName(_passage_words(more)))
     return out.join(counted, ["id", "key"], "left").withColumn("n_passage_words", F.coalesce("n_passage_words", F.lit(0)).cast("long")).drop("id", "key")
@@ -570,7 +591,7 @@ def deduplicate(docs: DataFrame, least: int = MIN, words: int | None = None) ->
 
 def _with_words(docs: DataFrame, told: DataFrame, parts: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """told and parts of repeats() by bytes, with those by words."""
-    by_words, more = repeats(docs, words * CODE, coded=in_words)
+    by_words, more = repeats(docs, words * CODE, coding=WORDWISE)
     rows = told.select("id", "key", "whole").unionByName(by_words.select("id", "key", "whole"))
     more = more.withColumnsRenamed({"from": "words_from", "to": "words_to"})
     none = F.array().cast("array<long>")

@@ -386,3 +386,33 @@ def test_near_pairs_of_a_large_group(spark):
     finally:
         jaccard_join.verified = old
     assert sum(seen) < 40 * len(rows)
+
+
+def passage_words_truth(rows, least):
+    """Words in runs of so many that also start elsewhere, of each row."""
+    lists = [t.split() for _, t in rows]
+    times = Counter(tuple(w[k : k + least]) for w in lists for k in range(len(w) - least + 1))
+    out = []
+    for (doc_id, _), w in zip(rows, lists, strict=True):
+        covered = set()
+        for k in range(len(w) - least + 1):
+            if times[tuple(w[k : k + least])] > 1:
+                covered |= set(range(k, k + least))
+        out.append((doc_id, len(covered)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("group", [1000, 4])
+def test_passage_words_by_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_repeats.repeats, "__defaults__", (400, 64, group))
+    rng = random.Random(group)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    own = lambda least, most: [word() for _ in range(rng.randint(least, most))]
+    passage, rows = own(90, 90), []
+    for k in range(60):
+        # Some hold 49, 50, 51 or 52 words of it, some nearly all.
+        a, n = rng.choice([(0, 90), (5, 80), (20, 49), (20, 50), (20, 51), (21, 51), (19, 52), (30, 60)])
+        rows.append((k, " ".join([*own(0, 70), *passage[a : a + n], *own(0, 70)])))
+    rows += [(900, rows[0][1]), (901, rows[3][1].replace(" ", "\n ")), (902, "x " * 200), (903, "")]
+    got = suffix_repeats.dig(frame(spark, rows).repartition(4), words=51)
+    assert sorted((r.doc_id, r.n_passage_words) for r in got.collect()) == passage_words_truth(rows, 51)
