@@ -28,14 +28,17 @@ each such group has its own tree; one that is still too large is split again by
 smaller blocks, in the end single windows, where members agree wholly.
 
 Texts are UTF-8 bytes, null text is empty.  Equality of classes, blocks and
-whole texts is by hashes of at least 128 bits with their keys.  Texts that occur twice are
+whole texts is by hashes of 127 bits or more with their keys.  Texts that occur twice are
 repeated as wholes if they have MIN bytes.  Repeated rows and null doc_ids count
-like others.  An empty table gives no rows.
+like others; a row is told by a hash of its doc_id and text and one of its text.
+An empty table gives no rows.
 
 A passage can also be measured in words: the same search then runs over texts in
 which every word is a code of CODE bytes, its hash, so that WORDS words are as many
 bytes whatever their lengths are and whatever white space parts them.  All places
-and lengths are then whole words (a coding's unit).
+and lengths are then whole words (a coding's unit).  Both searches are one run: the
+lowest bit of an anchor's hash says in which coding it was found, so groups of the
+two never meet.
 
 dig() gives what is removed of each row, deduplicate() the rows with what is
 left of their texts, and repeat_groups() the maximal repeats themselves with all
@@ -53,7 +56,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import _shared as shared_prefix
@@ -88,7 +91,8 @@ def in_words(text: str) -> bytes:
     return word_hashes(text.encode().split()).tobytes()
 
 
-BYTEWISE, WORDWISE = Coding(str.encode, 1), Coding(in_words, CODE)
+#: A search's number, the lowest bit of its hashes, is its coding's place here.
+CODINGS = Coding(str.encode, 1), Coding(in_words, CODE)
 
 
 @lru_cache(1)
@@ -223,9 +227,9 @@ def group_repeats(members: list[tuple[bytes, int]], least: int = MIN, unit: int
     return [[(-b, a)] if b >= 0 else [] for b, a in zip(before, after, strict=True)]
 
 
-_DOC = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.string()), ("h", pa.list_(pa.int64())), ("e", pa.list_(pa.int64())), ("p", pa.list_(pa.int64())), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64()))])
+_DOC = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("words", pa.int64()), ("key", pa.string()), ("h", pa.list_(pa.int64())), ("e", pa.list_(pa.int64())), ("p", pa.list_(pa.int64())), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64()))])
 _CONTEXT = pa.schema([("h", pa.int64()), ("e", pa.int64()), ("c", pa.int64()), ("hot", pa.bool_()), ("at", pa.int64()), ("data", pa.binary())])
-_SPANS = pa.schema([("h", pa.int64()), ("e", pa.int64()), ("from", pa.list_(pa.int64())), ("to", pa.list_(pa.int64()))])
+_SPANS = pa.schema([("h", pa.int64()), ("e", pa.int64()), ("from", pa.int64()), ("to", pa.int64())])
 _PIECE = pa.schema([("h", pa.int64()), ("e", pa.int64()), ("c", pa.int64()), ("g", pa.int64()), ("f", pa.int64()), ("r", pa.int64()), ("size", pa.int64()), ("shift", pa.int64())])
 _MEMBER = pa.schema([("h", pa.int64()), ("e", pa.int64()), ("c", pa.int64()), ("at", pa.int64()), ("data", pa.binary())])
 _REPEAT = pa.schema([("h", pa.int64()), ("e", pa.int64()), ("repeat", pa.string()), ("before", pa.int64()), ("length", pa.int64())])
@@ -240,19 +244,31 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def anchored(docs: DataFrame, least: int, k: int, coding: Coding = BYTEWISE) -> DataFrame:
-    """Every row with its classes; key is the SHA-256 of the text."""
+def searched(text: str, leasts: tuple[int, ...], k: int, only: set[int] | None = None) -> Iterator[tuple[int, bytes, tuple[np.ndarray, ...]]]:
+    """(number, coded text, classes) of each search; leasts: the bytes that a
+    repeat has in each coding."""
+    for number, (least, coding) in enumerate(zip(leasts, CODINGS, strict=False)):
+        if only is None or number in only:
+            data = coding.of(text)
+            h, *rest = classes(data, least, k, coding.unit)
+            yield number, data, (h & np.int64(-2) | np.int64(number), *rest)
+
+
+def anchored(docs: DataFrame, leasts: tuple[int, ...], k: int) -> DataFrame:
+    """Every row with its classes; key is the SHA-256 of the text, words are
+    counted where they are searched."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(_DOC, rows=1024)
-        for id_, doc_id, text in rows_of(batches, "id", "doc_id", "text"):
-            data = coding.of(text)
-            found = classes(data, least, k, coding.unit)
-            if out.add((id_, doc_id, len(data), hashlib.sha256(text.encode()).hexdigest(), *found), 40 * len(found[0])):
+        for a, b, doc_id, text in rows_of(batches, "a", "b", "doc_id", "text"):
+            own = list(searched(text, leasts, k))
+            found = [np.concatenate(x) for x in zip(*(f for _, _, f in own), strict=True)]
+            words = len(own[1][1]) // CODE if len(own) > 1 else 0
+            if out.add((a, b, doc_id, len(own[0][1]), words, hashlib.sha256(own[0][1]).hexdigest(), *found), 40 * len(found[0])):
                 yield out.take()
         yield from out.rest()
 
-    return docs.mapInArrow(find, _ddl(_DOC))
+    return docs.select("a", "b", "doc_id", "text").mapInArrow(find, _ddl(_DOC))
 
 
 def thinned(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -261,30 +277,29 @@ def thinned(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(ids), column, "left_semi") if ids.count() <= BROADCAST_ROWS else df
 
 
-def contexts(docs: DataFrame, wanted: DataFrame, least: int, k: int, coding: Coding = BYTEWISE) -> DataFrame:
-    """The context of one occurrence of each wanted class (h, e, c, hot, id)."""
-    by_doc = written(wanted.groupBy("id").agg(F.to_json(F.collect_list(F.struct("h", "e", "c", "hot"))).alias("want")))
-    need = thinned(docs, by_doc.select("id"), "id").join(by_doc, "id").select("text", "want")
+def contexts(docs: DataFrame, wanted: DataFrame, leasts: tuple[int, ...], k: int) -> DataFrame:
+    """The context of one occurrence of each wanted class (h, e, c, hot, a)."""
+    by_doc = written(wanted.groupBy("a").agg(F.collect_list(F.struct("h", "e", "c", "hot")).alias("want")))
+    need = thinned(docs.select("a", "text"), by_doc.select("a"), "a").join(by_doc, "a").select("text", *(F.col(f"want.{c}").alias(c) for c in ("h", "e", "c", "hot")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         out = Out(_CONTEXT)
-        for text, want in rows_of(batches, "text", "want"):
-            data, left = coding.of(text), {(w["h"], w["e"]): w for w in json.loads(want)}
-            h, e, p, lo, hi = classes(data, least, k, coding.unit)
-            for key, x, a, b in zip(zip(h.tolist(), e.tolist(), strict=True), p.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                if w := left.pop(key, None):
-                    if out.add((*key, w["c"], w["hot"], x - a, data[a : b + least]), b - a + least):
-                        yield out.take()
+        for text, *want in rows_of(batches, "text", "h", "e", "c", "hot"):
+            left = {(h, e): more for h, e, *more in zip(*want, strict=True)}
+            for number, data, (h, e, p, lo, hi) in searched(text, leasts, k, {h & 1 for h, _ in left}):
+                least = leasts[number]
+                for key, x, a, b in zip(zip(h.tolist(), e.tolist(), strict=True), p.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    if more := left.pop(key, None):
+                        if out.add((*key, *more, x - a, data[a : b + least]), b - a + least):
+                            yield out.take()
         yield from out.rest()
 
     return need.mapInArrow(cut, _ddl(_CONTEXT))
 
 
-def _by_group(found: DataFrame, each: Callable[[list[tuple[bytes, int]]], Iterator[tuple[int, tuple]]], schema: pa.Schema) -> DataFrame:
+def _by_group(found: DataFrame, each: Callable[[list[tuple], int], Iterator[tuple[int, tuple]]], schema: pa.Schema) -> DataFrame:
     """h, e and what each() says of the members (number, values) of every group h
-    that has two or more classes; found: h, e, c, at, data."""
+    that has two or more classes, given the search's number; found: h, e, c, at, data."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now, members = Out(schema), None, {}
@@ -292,7 +307,7 @@ def _by_group(found: DataFrame, each: Callable[[list[tuple[bytes, int]]], Iterat
         def finish() -> Iterator[tuple]:
             if len(members) > 1:
                 names, held = list(members), list(members.values())
-                for m, values in each(held):
+                for m, values in each(held, now & 1):
                     yield now, names[m], *values
 
         for h, e, c, at, data in rows_of(batches, "h", "e", "c", "at", "data"):
@@ -310,23 +325,24 @@ def _by_group(found: DataFrame, each: Callable[[list[tuple[bytes, int]]], Iterat
     return found.select("h", "e", "c", "at", "data").repartition("h").sortWithinPartitions("h").mapInArrow(scan, _ddl(schema))
 
 
-def _sorted_groups(found: DataFrame, least: int, unit: int = 1) -> DataFrame:
+def _sorted_groups(found: DataFrame, leasts: tuple[int, ...]) -> DataFrame:
     """Spans of the classes of groups that one task can sort."""
 
-    def covered(members: list[tuple]) -> Iterator[tuple[int, tuple]]:
-        for m, own in enumerate(group_repeats([x[:2] for x in members], least, unit)):
-            if own and members[m][2] == 1:
-                yield m, ([a for a, _ in own], [b for _, b in own])
+    def covered(members: list[tuple], number: int) -> Iterator[tuple[int, tuple]]:
+        for m, own in enumerate(group_repeats([x[:2] for x in members], leasts[number], CODINGS[number].unit)):
+            if members[m][2] == 1:
+                for span in own:
+                    yield m, span
 
     return _by_group(found, covered, _SPANS)
 
 
-def _named_groups(found: DataFrame, least: int, unit: int = 1) -> DataFrame:
+def _named_groups(found: DataFrame, leasts: tuple[int, ...]) -> DataFrame:
     """h, e, repeat, before, length: every maximal repeat of the groups that one
     task can sort, once for each class that has it, begun so far before the anchor."""
 
-    def named(members: list[tuple]) -> Iterator[tuple[int, tuple]]:
-        for before, depth, group in maximal_repeats([x[:2] for x in members], least, unit):
+    def named(members: list[tuple], number: int) -> Iterator[tuple[int, tuple]]:
+        for before, depth, group in maximal_repeats([x[:2] for x in members], leasts[number], CODINGS[number].unit):
             data, at, _ = members[group[0]]
             name = xxhash.xxh3_128_hexdigest(data[at - before : at + depth])
             for m in group:
@@ -335,32 +351,34 @@ def _named_groups(found: DataFrame, least: int, unit: int = 1) -> DataFrame:
     return _by_group(found, named, _REPEAT)
 
 
-def _blocks(h: int, at: int, data: bytes, least: int, block: int, unit: int = 1) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+def _blocks(h: int, at: int, data: bytes, leasts: tuple[int, ...], block: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
     """(g, f, r, size, shift, bytes) of each block of a context's windows: the
     group by the middle that its windows share, the kind by all its bytes, the
     first window's place, how far windows go from there, and where the middle begins.
-    block is in bytes, a multiple of the unit."""
+    block is in bytes; of these, whole units count."""
+    number = h & 1
+    least, unit = leasts[number], CODINGS[number].unit
+    block = max(block // unit, 1) * unit
     first, last = -at, len(data) - least - at  # windows, from the anchor
     for b in range(first // block, last // block + 1):
         r1, r2, shift = max(first, b * block), min(last, b * block + block - unit), b * block + block - unit
         own = data[r1 + at : r2 + at + least]
         g = xxhash.xxh3_64_intdigest(data[shift + at : b * block + least + at], (h ^ b * _B) & (1 << 64) - 1)
-        yield _signed(g), _signed(xxhash.xxh3_64_intdigest(own, shift - r1)), r1, r2 - r1 + 1, shift, own
+        yield _signed(g & ~1 | number), _signed(xxhash.xxh3_64_intdigest(own, shift - r1)), r1, r2 - r1 + 1, shift, own
 
 
-def split_groups(found: DataFrame, least: int, group: int, blocks: tuple[int, ...], solve: Callable[..., DataFrame] = _sorted_groups, unit: int = 1) -> tuple[DataFrame, DataFrame]:
+def split_groups(found: DataFrame, leasts: tuple[int, ...], group: int, blocks: tuple[int, ...], solve: Callable[..., DataFrame] = _sorted_groups) -> tuple[DataFrame, DataFrame]:
     """Groups too large for one task, split on longer prefixes.
 
     found: h, e, c, at, data.  Returns pieces (h, e, c, g, f, r, size, shift, n:
     rows of this kind) and what solve() says of the kinds (h: g, e: f) of the
     groups of pieces; at the last block size all members of a group are equal."""
     block, *smaller = blocks
-    block *= unit
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(_PIECE, rows=8192)
         for h, e, c, at, data in rows_of(batches, "h", "e", "c", "at", "data"):
-            for g, f, r, size, shift, _ in _blocks(h, at, data, least, block, unit):
+            for g, f, r, size, shift, _ in _blocks(h, at, data, leasts, block):
                 if out.add((h, e, c, g, f, r, size, shift)):
                     yield out.take()
         yield from out.rest()
@@ -370,39 +388,41 @@ def split_groups(found: DataFrame, least: int, group: int, blocks: tuple[int, ..
     open_ = written(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     # The bytes of one member of each kind that can share windows with another.
     wanted = kinds.join(open_, "g").groupBy("of.h", "of.e").agg(F.collect_list(F.struct("g", "f", "n", (F.col("kinds") > group).alias("hot"))).alias("want"))
-    need = found.select("h", "e", "at", "data").join(wanted.select("h", "e", F.to_json("want").alias("want")), ["h", "e"])
+    need = found.select("h", "e", "at", "data").join(wanted, ["h", "e"]).select("h", "at", "data", *(F.col(f"want.{c}").alias(c) for c in ("g", "f", "n", "hot")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         out = Out(pa.schema([*_MEMBER, ("hot", pa.bool_())]))
-        for h, at, data, want in rows_of(batches, "h", "at", "data", "want"):
-            left = {(w["g"], w["f"]): w for w in json.loads(want)}
-            for g, f, r, _, shift, own in _blocks(h, at, data, least, block, unit):
-                if w := left.pop((g, f), None):
-                    if out.add((g, f, w["n"], shift - r, own, w["hot"]), len(own)):
+        for h, at, data, *want in rows_of(batches, "h", "at", "data", "g", "f", "n", "hot"):
+            left = {(g, f): more for g, f, *more in zip(*want, strict=True)}
+            for g, f, r, _, shift, own in _blocks(h, at, data, leasts, block):
+                if more := left.pop((g, f), None):
+                    if out.add((g, f, more[0], shift - r, own, more[1]), len(own)):
                         yield out.take()
         yield from out.rest()
 
     members = written(need.mapInArrow(cut, f"{_ddl(_MEMBER)}, hot boolean"))
-    told = solve(members.where("not hot"), least, unit)
+    told = solve(members.where("not hot"), leasts)
     if smaller and members.where("hot").limit(1).count():
-        told = told.unionByName(_rejoined(*split_groups(members.where("hot"), least, group, tuple(smaller), solve, unit), least, solve))
+        told = told.unionByName(_rejoined(*split_groups(members.where("hot"), leasts, group, tuple(smaller), solve), leasts, solve))
     return pieces.join(kinds.select("g", "f", "n"), ["g", "f"]), told
 
 
-def _rejoined(pieces: DataFrame, told: DataFrame, least: int, solve: Callable[..., DataFrame]) -> DataFrame:
+def _least(leasts: tuple[int, ...]) -> Column:
+    """The bytes that a repeat has, of the search of the row's h."""
+    return F.when(F.col("h").bitwiseAND(1) == 1, leasts[-1]).otherwise(leasts[0])
+
+
+def _rejoined(pieces: DataFrame, told: DataFrame, leasts: tuple[int, ...], solve: Callable[..., DataFrame]) -> DataFrame:
     """What is told of pieces, in terms of the classes they were cut from."""
     whole, some = pieces.where("n > 1"), pieces.join(told.withColumnsRenamed({"h": "g", "e": "f"}), ["g", "f"])
     if solve is _named_groups:
         some = some.select("h", "e", "repeat", (F.col("before") - F.col("shift")).alias("before"), "length")
         name = F.concat_ws(":", F.hex("g"), F.hex("f"))
-        whole = _unless_told(whole.withColumn("length", F.col("size") - 1 + least), told.withColumnsRenamed({"h": "g", "e": "f"}), ["g", "f"])
+        whole = _unless_told(whole.withColumn("length", F.col("size") - 1 + _least(leasts)), told.withColumnsRenamed({"h": "g", "e": "f"}), ["g", "f"])
         return some.unionByName(whole.select("h", "e", name.alias("repeat"), (-F.col("r")).alias("before"), "length"))
     once = F.col("c") == 1
-    moved = some.where(once).select("h", "e", *(F.transform(c, lambda x: x + F.col("shift")).alias(c) for c in ("from", "to")))
-    all_ = moved.unionByName(whole.where(once).select("h", "e", F.array("r").alias("from"), F.array(F.col("r") + F.col("size") - 1 + least).alias("to")))
-    return all_.groupBy("h", "e").agg(F.flatten(F.collect_list("from")).alias("from"), F.flatten(F.collect_list("to")).alias("to"))
+    moved = some.where(once).select("h", "e", *((F.col(c) + F.col("shift")).alias(c) for c in ("from", "to")))
+    return moved.unionByName(whole.where(once).select("h", "e", F.col("r").alias("from"), (F.col("r") + F.col("size") - 1 + _least(leasts)).alias("to")))
 
 
 def _unless_told(whole: DataFrame, told: DataFrame, key: list[str]) -> DataFrame:
@@ -412,58 +432,60 @@ def _unless_told(whole: DataFrame, told: DataFrame, key: list[str]) -> DataFrame
     return whole.join(longest, key, "left").where(F.coalesce(F.col("longest") < F.col("length"), F.lit(True)))
 
 
-def _solved(found: DataFrame, least: int, group: int, solve: Callable[..., DataFrame], unit: int = 1) -> DataFrame:
+def _solved(found: DataFrame, leasts: tuple[int, ...], group: int, solve: Callable[..., DataFrame]) -> DataFrame:
     """solve() for all groups, the large ones (hot) split first."""
-    told = solve(found.where("not hot"), least, unit)
+    told = solve(found.where("not hot"), leasts)
     if found.where("hot").limit(1).count():
-        # Blocks of as many bytes whatever the unit is.
-        blocks = tuple(dict.fromkeys(max(1, b // unit) for b in BLOCKS))
-        told = told.unionByName(_rejoined(*split_groups(found.where("hot"), least, group, blocks, solve, unit), least, solve))
+        told = told.unionByName(_rejoined(*split_groups(found.where("hot"), leasts, group, BLOCKS, solve), leasts, solve))
     return told
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """h, e, mixed, c, id: the classes of anchors that occur twice; mixed where the
-    anchor has several classes, c rows of the class, and one of their ids."""
-    flat = rows.select("id", F.inline(F.arrays_zip("h", "e")))
+def _met(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits, kinds): the rows of flat whose anchor h occurs twice, with mixed
+    where it has several classes, and their classes: h, e, mixed, c rows of the
+    class, and the name a of one of them."""
     met = written(flat.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("e") != F.max("e")).alias("mixed")).where("n > 1").select("h", "mixed"))
     # Joined alike at every size, as these grow with the corpus.
-    kinds = written(flat.join(met, "h").groupBy("h", "e", "mixed").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")))
+    hits = written(flat.join(met, "h"))
+    kinds = written(hits.groupBy("h", "e", "mixed").agg(F.count(F.lit(1)).alias("c"), F.min("a").alias("a")))
     release(met)
-    return kinds
+    return hits, kinds
 
 
-def _found(docs: DataFrame, kinds: DataFrame, least: int, k: int, group: int, coding: Coding = BYTEWISE) -> DataFrame:
+def _found(docs: DataFrame, kinds: DataFrame, leasts: tuple[int, ...], k: int, group: int) -> DataFrame:
     """The contexts of classes that share an anchor with others; hot: too many for one task."""
     # Such groups are few; classes don't meet by h to learn it.
     hot = written(kinds.where("mixed").groupBy("h").agg(F.count(F.lit(1)).alias("of")).where(F.col("of") > group).select("h", F.lit(True).alias("hot")))
     side = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
-    wanted = kinds.where("mixed").join(side, "h", "left").select("h", "e", "c", "id", F.coalesce("hot", F.lit(False)).alias("hot"))
-    found = written(contexts(docs, wanted, least, k, coding))
+    wanted = kinds.where("mixed").join(side, "h", "left").select("h", "e", "c", "a", F.coalesce("hot", F.lit(False)).alias("hot"))
+    found = written(contexts(docs, wanted, leasts, k))
     release(hot)
     return found
 
 
-def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP, *, coding: Coding = BYTEWISE) -> tuple[DataFrame, DataFrame]:
-    """(rows, parts).  rows: id, doc_id, n, key, whole (all of it is repeated)
-    of every row; parts: id, key, spans (starts, ends) of the rows of which some
-    bytes are, but which are no copies.  All lengths and places are in bytes of
-    the coded text."""
+def repeats(docs: DataFrame, least: int = MIN, k: int = K, group: int = GROUP, *, words: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, parts).  rows: a, b, doc_id, n, words, key, whole (all of it is
+    repeated), whole_words (the same by words) of every row; parts: a, b, spans
+    (from, to; of coded words words_from, words_to) of the rows of which some
+    bytes or words are repeated, but which are no copies."""
+    leasts = (least, words * CODE) if words else (least,)
     docs = _numbered(docs)
-    rows = written(anchored(docs, least, k, coding))
+    rows = written(anchored(docs, leasts, k))
     copies = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     side = F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies
-    told = written(rows.select("id", "doc_id", "n", "key").join(side, "key", "left").select("id", "doc_id", "n", "key", (F.col("m").isNotNull() & (F.col("n") >= least)).alias("whole")))
-    kinds = _met(rows)
-    found = _found(docs, kinds, least, k, group, coding)
-    spans = _solved(found, least, group, _sorted_groups, coding.unit)
-    known = written(spans.unionByName(kinds.where("c > 1").select("h", "e", F.lit(None).cast("array<long>").alias("from"), F.lit(None).cast("array<long>").alias("to"))))
-    some = rows.join(told.where("not whole").select("id", "key"), ["id", "key"], "left_semi").where(F.size("h") > 0)
-    each = some.select("id", "key", F.inline(F.arrays_zip("h", "e", "p", "lo", "hi")))
-    hit = each.join(known, ["h", "e"]).select("id", "key", F.when(F.col("from").isNull(), F.array("lo")).otherwise(F.transform("from", lambda x: x + F.col("p"))).alias("from"), F.when(F.col("to").isNull(), F.array(F.col("hi") + least)).otherwise(F.transform("to", lambda x: x + F.col("p"))).alias("to"))
-    parts = hit.groupBy("id", "key").agg(F.flatten(F.collect_list("from")).alias("from"), F.flatten(F.collect_list("to")).alias("to"))
-    parts = written(parts)
-    release(rows, copies, kinds, found, known)
+    copy = F.col("m").isNotNull()
+    known_rows = rows.join(side, "key", "left").withColumns({"whole": copy & (F.col("n") >= least), "whole_words": copy & (F.col("words") >= (words or 0)) & F.lit(bool(words))})
+    told = written(known_rows.select("a", "b", "doc_id", "n", "words", "key", "whole", "whole_words"))
+    flat = known_rows.where(F.size("h") > 0).select("a", "b", "whole", "whole_words", F.inline(F.arrays_zip("h", "e", "p", "lo", "hi")))
+    by_words = F.col("h").bitwiseAND(1) == 1
+    hits, kinds = _met(flat.select("a", "b", F.when(by_words, ~F.col("whole_words")).otherwise(~F.col("whole")).alias("own"), "h", "e", "p", "lo", "hi"))
+    found = _found(docs, kinds, leasts, k, group)
+    spans = _solved(found, leasts, group, _sorted_groups)
+    known = written(spans.unionByName(kinds.where("c > 1").select("h", "e", F.lit(None).cast("long").alias("from"), F.lit(None).cast("long").alias("to"))))
+    hit = hits.where("own").join(known, ["h", "e"]).select("a", "b", by_words.alias("w"), F.coalesce(F.col("p") + F.col("from"), "lo").alias("from"), F.coalesce(F.col("p") + F.col("to"), F.col("hi") + _least(leasts)).alias("to"))
+    ends = {name: F.collect_list(F.when(w, F.col(c))) for w, names in ((~F.col("w"), ("from", "to")), (F.col("w"), ("words_from", "words_to"))) for name, c in zip(names, ("from", "to"), strict=True)}
+    parts = written(hit.groupBy("a", "b").agg(*(c.alias(name) for name, c in ends.items())))
+    release(rows, copies, hits, kinds, found, known)
     return told, parts
 
 
@@ -475,12 +497,11 @@ def repeat_groups(docs: DataFrame, least: int = MIN, k: int = K, group: int = GR
     within a block); one that is longer is given as several that overlap, one for
     each anchor in it.  A class that occurs twice is a repeat of its whole
     context.  Each is named by its bytes' hash, or by its class's."""
-    docs = _numbered(docs)
-    rows = written(anchored(docs, least, k))
-    kinds = _met(rows)
-    found = _found(docs, kinds, least, k, group)
-    told = _solved(found, least, group, _named_groups)
-    at = rows.select("doc_id", F.inline(F.arrays_zip("h", "e", "p", "lo", "hi")))
+    docs, leasts = _numbered(docs), (least,)
+    rows = written(anchored(docs, leasts, k))
+    at, kinds = _met(rows.select("a", "doc_id", F.inline(F.arrays_zip("h", "e", "p", "lo", "hi"))))
+    found = _found(docs, kinds, leasts, k, group)
+    told = _solved(found, leasts, group, _named_groups)
     some = at.join(told, ["h", "e"]).select("repeat", "length", "doc_id", (F.col("p") - F.col("before")).alias("start"))
     # In a group that was split the blocks of such a class are told.
     twice = kinds.where("c > 1").select("h", "e").join(found.where("hot").select("h", "e"), ["h", "e"], "left_anti")
@@ -489,12 +510,16 @@ def repeat_groups(docs: DataFrame, least: int = MIN, k: int = K, group: int = GR
     return some.unionByName(whole).distinct()
 
 
-def _numbered(docs: DataFrame, *more: str) -> DataFrame:
-    """A null doc_id counts as the least number among ids."""
-    return texts(docs, *more).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+def _names(doc_id: Column, text: Column) -> dict[str, Column]:
+    """What a row is told by: its text and doc_id, which may be null."""
+    return {"a": F.xxhash64(doc_id, text), "b": F.xxhash64(F.lit(1), text)}
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return texts(docs).withColumns(_names(F.col("doc_id"), F.col("text")))
 
 
-_CUT = pa.schema([("id", pa.int64()), ("key", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+_CUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("n_passage_words", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
 def word_spans(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -504,20 +529,18 @@ def word_spans(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
 
 
 def removed(docs: DataFrame, parts: DataFrame, with_text: bool = False) -> DataFrame:
-    """id, key, n_removed, n_spans, kept_sha256 of the rows in parts; with_text
-    adds what is left as text, where a character goes only as a whole.  Where
-    parts have them, the columns "from" and "to" of words come on top."""
-    if "words_from" not in parts.columns:
-        parts = parts.withColumns({c: F.array().cast("array<long>") for c in ("words_from", "words_to")})
-    docs = _numbered(docs)
-    need = thinned(docs, parts.select("id").distinct(), "id").withColumn("key", F.sha2("text", 256)).join(parts, ["id", "key"])
+    """a, b, n_removed, n_spans, n_passage_words, kept_sha256 of the rows in parts;
+    with_text takes the passages of words out besides and adds what is left as
+    text, where a character goes only as a whole."""
+    docs = _numbered(docs).select("a", "b", "text")
+    need = thinned(docs, parts.select("a").distinct(), "a").join(parts, ["a", "b"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Out(_CUT)
-        for id_, key, text, starts, ends, first, last in rows_of(batches, "id", "key", "text", "from", "to", "words_from", "words_to"):
+        for a_, b_, text, starts, ends, first, last in rows_of(batches, "a", "b", "text", "from", "to", "words_from", "words_to"):
             data, at, rest, whole, gone = text.encode(), 0, [], [], 0
-            words = word_spans(data, merged(list(zip(first, last, strict=True)))) if first else []
-            spans = merged([*zip(starts, ends, strict=True), *words])
+            passages = merged(list(zip(first, last, strict=True)))
+            spans = merged([*zip(starts, ends, strict=True), *(word_spans(data, passages) if with_text and passages else [])])
             for a, b in [*spans, (len(data), len(data))]:
                 rest.append(data[at:a])
                 gone += b - a
@@ -531,13 +554,13 @@ def removed(docs: DataFrame, parts: DataFrame, with_text: bool = False) -> DataF
                         b -= 1
                     whole.append(data[at:a])
                     at = b
-            row = (id_, key, gone, len(spans), hashlib.sha256(b"".join(rest)).hexdigest(), b"".join(whole).decode() if with_text else None)
+            told = sum(b // CODE - -(-a // CODE) for a, b in passages)
+            row = (a_, b_, gone, len(spans), told, hashlib.sha256(b"".join(rest)).hexdigest(), b"".join(whole).decode() if with_text else None)
             if out.add(row, len(row[-1] or "")):
                 yield out.take()
         yield from out.rest()
 
-    made = need.select("id", "key", "text", "from", "to", "words_from", "words_to").mapInArrow(cut, _ddl(_CUT))
-    return made.dropDuplicates(["id", "key"])
+    return need.mapInArrow(cut, _ddl(_CUT)).dropDuplicates(["a", "b"])
 
 
 def dig(docs: DataFrame, least: int = MIN, words: int | None = None) -> DataFrame:
@@ -545,61 +568,27 @@ def dig(docs: DataFrame, least: int = MIN, words: int | None = None) -> DataFram
     also n_passage_words: its words that lie in runs of so many words which also
     start elsewhere, however few bytes these have.  What is removed goes by bytes
     alone."""
-    told, parts = repeats(docs, least)
+    told, parts = repeats(docs, least, words=words)
     made = written(removed(docs, parts).drop("kept"))
-    all_, empty = told.join(made, ["id", "key"], "left"), hashlib.sha256(b"").hexdigest()
-    out = all_.select("id", "key", "doc_id", F.col("n").alias("n_bytes"), F.when(F.col("whole"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(F.col("whole"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.when(F.col("whole"), empty).otherwise(F.coalesce("kept_sha256", "key")).alias("kept_sha256"))
-    if not words:
-        return out.drop("id", "key")
-    runs, more = repeats(docs, words * CODE, coding=WORDWISE)
-    counted = runs.where("whole").select("id", "key", F.expr(f"n div {CODE}").alias("n_passage_words")).distinct()
-    counted = written(counted.unionByName(_passage_words(more)))
-    return out.join(counted, ["id", "key"], "left").withColumn("n_passage_words", F.coalesce("n_passage_words", F.lit(0)).cast("long")).drop("id", "key")
-
-
-def _passage_words(parts: DataFrame) -> DataFrame:
-    """id, key, n_passage_words from spans of coded words."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.string()), ("n_passage_words", pa.int64())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(schema)
-        for id_, key, starts, ends in rows_of(batches, "id", "key", "from", "to"):
-            spans = merged(list(zip(starts, ends, strict=True)))
-            if out.add((id_, key, sum(b // CODE - -(-a // CODE) for a, b in spans))):
-                yield out.take()
-        yield from out.rest()
-
-    return parts.select("id", "key", "from", "to").mapInArrow(count, _ddl(schema))
+    all_, empty, zero = told.join(made, ["a", "b"], "left"), hashlib.sha256(b"").hexdigest(), F.lit(0).cast("long")
+    passage = F.when(F.col("whole_words"), F.col("words")).otherwise(F.coalesce("n_passage_words", zero)).alias("n_passage_words")
+    return all_.select("doc_id", F.col("n").alias("n_bytes"), F.when(F.col("whole"), F.col("n")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"), F.when(F.col("whole"), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"), F.when(F.col("whole"), empty).otherwise(F.coalesce("kept_sha256", "key")).alias("kept_sha256"), *([passage] if words else []))
 
 
 def deduplicate(docs: DataFrame, least: int = MIN, words: int | None = None) -> DataFrame:
     """docs with repeated bytes taken out of the texts, and n_chars, if it is
     there, counted anew; with words, repeated runs of so many words as well,
-    however short the words are."""
-    told, parts = repeats(docs, least)
-    if words:
-        told, parts = _with_words(docs, told, parts, words)
-    left = removed(docs, parts, with_text=True).select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("kept").alias("__kept"))
-    whole = told.where("whole").select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.lit("").alias("__kept")).distinct()
+    however short the words are.  A copy goes whole if either says so."""
+    told, parts = repeats(docs, least, words=words)
+    left = removed(docs, parts, with_text=True).select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("kept").alias("__kept"))
+    whole = told.where("whole or whole_words").select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.lit("").alias("__kept")).distinct()
     changed = written(left.unionByName(whole))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__key": F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)})
-    out = keyed.join(changed, ["__id", "__key"], "left").withColumn("text", F.coalesce("__kept", "text"))
+    names = _names(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+    out = docs.withColumns({f"__{c}": x for c, x in names.items()}).join(changed, ["__a", "__b"], "left").withColumn("text", F.coalesce("__kept", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 
-def _with_words(docs: DataFrame, told: DataFrame, parts: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """told and parts of repeats() by bytes, with those by words."""
-    by_words, more = repeats(docs, words * CODE, coding=WORDWISE)
-    rows = told.select("id", "key", "whole").unionByName(by_words.select("id", "key", "whole"))
-    more = more.withColumnsRenamed({"from": "words_from", "to": "words_to"})
-    none = F.array().cast("array<long>")
-    both = parts.join(more, ["id", "key"], "full").select("id", "key", *(F.coalesce(c, none).alias(c) for c in ("from", "to", "words_from", "words_to")))
-    # A copy goes whole if either search says so, and isn't cut besides.
-    whole = rows.where("whole").select("id", "key").distinct()
-    return rows, written(both.join(whole, ["id", "key"], "left_anti"))
-
-
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dig(read(spark, sf_dir, "documents"), words=WORDS)
