@@ -5,9 +5,11 @@ tokenizer definition with ``add_special_tokens=False`` and neither truncation
 nor padding.  Most of a corpus is made of pre-tokens that were seen before, so
 texts whose characters all lie below U+0250 are split here with the
 tokenizer's own pre-token pattern and looked up in a cache; the library's model
-encodes what the cache does not hold.  Every other text, every text that holds
-the string of a special token, and every tokenizer whose normaliser or
-pre-tokenizer is not one of the two known shapes goes to the library whole.
+encodes what the cache does not hold.  With a function for long pre-tokens of a
+byte-level tokenizer every other text is split by the library's own
+pre-tokenizer, around special tokens, and its pre-tokens are encoded alike.
+Without one such texts go to the library whole, as do those of a tokenizer whose
+normaliser or pre-tokenizer is not one of the two known shapes.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import os
 import re
 import unicodedata
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 from importlib import import_module
 
@@ -37,7 +40,7 @@ _BYTE_RE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?{_O}+|\s+(?!\
 _NO_CUT = re.compile(r" (?:\s|\Z)")
 _PLAIN = re.compile(r"[\t\n\r -~\xa0-ɏ]*")
 
-#: Entries and longest entry of each of a worker's two caches; a full cache takes no more.
+#: Entries and longest entry of each of a worker's caches; a full cache takes no more.
 CACHE_ENTRIES = 400_000
 CACHE_LENGTH = 64
 
@@ -100,9 +103,9 @@ class Encoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.long_piece = long_piece
-        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.shape = self._shape(spec)
-        self.pieces = _Cache(self._piece)
+        self.pieces, self.others = _Cache(self._piece), _Cache(self._mapped)
         self.words = _Cache(self._whole if self.shape == "words" else lambda word: self._whole(f" {word}"))
 
     def _shape(self, spec: dict) -> str | None:
@@ -119,7 +122,9 @@ class Encoder:
         return None
 
     def _piece(self, piece: str) -> bytes:
-        mapped = to_alphabet(piece.encode())
+        return self._mapped(to_alphabet(piece.encode()))
+
+    def _mapped(self, mapped: str) -> bytes:
         if self.long_piece and len(mapped) > CACHE_LENGTH:
             return self.long_piece(mapped)
         return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
@@ -132,9 +137,21 @@ class Encoder:
             return _BYTE_RE.findall(text)
         return _WORD_RE.findall(text.lower()) if unicodedata.is_normalized("NFC", text) else None
 
+    def split(self, text: str) -> Iterator[str | int]:
+        """A text's pre-tokens in the byte alphabet, by the library's
+        pre-tokenizer, and the ids of its special tokens."""
+        special = sorted(self.special, key=len, reverse=True)
+        for piece in re.split("(" + "|".join(map(re.escape, special)) + ")", text) if special else [text]:
+            if piece in self.special:
+                yield self.special[piece]
+            elif piece:
+                yield from (mapped for mapped, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece))
+
     def _whole(self, text: str) -> bytes:
         pieces = self.pretokens(text)
         if pieces is None:
+            if self.long_piece and self.shape == "bytes":
+                return b"".join(self.others[x] if isinstance(x, str) else np.array([x], "<u4").tobytes() for x in self.split(text))
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.pieces.__getitem__, pieces))
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,7 +49,6 @@ class TreeBPE:
         back = {c: b for b, c in enumerate(byte_alphabet())}
         self.bytes = {k: bytes(map(back.__getitem__, v)) for k, v in vocabulary.items()}
         self.bytes |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens") or []}
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.halves = self.windows = 0
 
     def direct(self, mapped: str) -> list[int]:
@@ -92,17 +90,14 @@ class TreeBPE:
     def parts(self, text: str, part: int) -> Iterator[tuple[int, str | int]]:
         """(kind, what) in order: 0 a short pre-token, 1 the first and 2 a later
         part of a long one, 3 a special token's id."""
-        split = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if self.special else [text]
-        for piece in split:
-            if piece in self.special:
-                yield 3, self.special[piece]
-            elif piece:
-                for mapped, _ in self.encoder.tokenizer.pre_tokenizer.pre_tokenize_str(piece):
-                    if len(mapped) <= part:
-                        yield 0, mapped
-                    else:
-                        for at in range(0, len(mapped), part):
-                            yield 2 - (at == 0), mapped[at : at + part]
+        for piece in self.encoder.split(text):
+            if isinstance(piece, int):
+                yield 3, piece
+            elif len(piece) <= part:
+                yield 0, piece
+            else:
+                for at in range(0, len(piece), part):
+                    yield 2 - (at == 0), piece[at : at + part]
 
 
 @lru_cache(4)

@@ -33,6 +33,18 @@ def test_tree_concatenation():
     assert tree.halves and tree.windows
 
 
+def test_trees_of_other_scripts():
+    """Texts of all scripts, with special tokens and without, are split and joined as the library does."""
+    tree, rng = TreeBPE(tokenizer_json("byte_bpe_50k.json"), leaf=8), random.Random(3)
+    long = ["日本語" * 900, "кошка" * 700 + " дом", "ελληνικά" * 300 + "<|endoftext|>" + "漢" * 500, "\x1c" * 90 + "한국어" * 90]
+    for text in ODD + long + ["".join(rng.choice(["日本", "кот", " ", "é", "\n", "<|endoftext|>", "🙂", "'s", "12", "\u3000"]) for _ in range(rng.randint(1, 120))) for _ in range(300)]:
+        before = tree.windows
+        want = tree.encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tree.encode(text), "<u4").tolist() == want, text
+        assert tree.windows > before or text not in long
+        assert tree.decode(tree.encode(text)) == tree.encoder.tokenizer.decode(want, skip_special_tokens=False)
+
+
 def test_other_tokenizers_go_to_the_library():
     import json
 
