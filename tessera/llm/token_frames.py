@@ -139,14 +139,16 @@ def write_frames(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
 
     Returns the manifest (shard, file, n_docs, n_ids, start), also kept in
     folder/manifest.  Frames are made where the texts are read, so only
-    compressed ids are shuffled, to shards that are ranges of doc_id.  A shard
-    file gets its final name only when whole, so repeated tasks are harmless."""
+    compressed ids are shuffled, to shards that are ranges of doc_id; a doc_id
+    that has several shards' rows, or null, is dealt on by ranges of its ids' crc32,
+    in which its rows are ordered.  A shard file gets its final name only when whole, so repeated tasks are harmless."""
     spark, definition = docs.sparkSession, tokenizer_json(tokenizer)
     docs = texts(docs)
     width = 2 if _vocabulary(definition, end_id) <= 1 << 16 else 4
-    n = docs.count()
+    n, nulls = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
     shards = max(1, -(-n // shard_docs), min(n // 64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.2 / shards)}) if shards > 1 else []
+    bounds = sorted(int(x) for x in docs.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.2 / shards)) if shards > 1 else []
+    without = max(1, -(-nulls * shards // max(n, 1)))  # shards of rows without id, the last one shared
     end = struct.pack("<I", end_id)
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +156,13 @@ def write_frames(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
         for doc_id, text in rows_of(batches, "doc_id", "text"):
             ids = encoder.ids(text) + end
             frames, entries = pack_frames(ids, width, compressor)
-            shard = bisect.bisect_right(bounds, doc_id) if doc_id is not None else 0
-            if out.add((shard, doc_id, len(ids) // 4, zlib.crc32(ids), frames, entries), len(frames)):
+            crc = zlib.crc32(ids)
+            if doc_id is None:
+                shard = crc * without >> 32
+            else:
+                first, last = bisect.bisect_left(bounds, doc_id), bisect.bisect_right(bounds, doc_id)
+                shard = without - 1 + first + (last > first) + (crc * (last - first) >> 32)
+            if out.add((shard, doc_id, len(ids) // 4, crc, frames, entries), len(frames)):
                 yield out.take()
         yield from out.rest()
 
@@ -183,7 +190,7 @@ def write_frames(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.js
             yield finish()
 
     ready = docs.mapInArrow(framed, "shard long, doc_id long, n long, crc long, frames binary, entries binary")
-    dealt = ready.repartitionById(len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "crc")
+    dealt = ready.repartitionById(len(bounds) + without, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "crc")
     found = written(dealt.select("shard", "doc_id", "n", "frames", "entries").mapInArrow(write, "shard long, file string, n_docs long, n_ids long"))
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     if shards and n:  # what failed tasks began

@@ -104,6 +104,17 @@ def test_token_frames_of_odd_rows(spark, tmp_path):
     assert files(spark, empty(spark), tmp_path / "e") == ([], [])
 
 
+def test_token_frames_of_one_id(spark, tmp_path):
+    """A doc_id that many rows share, or none, fills several files in order."""
+    rows = [(None, f"nothing {k}") for k in range(300)] + [(7, f"seven {k}") for k in range(300)] + [(k, f"own {k}") for k in range(300)]
+    folder = f"file://{tmp_path}/one"
+    manifest = token_frames.write_frames(frame(spark, rows).repartition(3), folder, shard_docs=50).collect()
+    assert sum(r.n_docs for r in manifest) == 900 and max(r.n_docs for r in manifest) <= 120
+    read = sorted(((r.start, r.doc_id, r.ids_crc32, r.n_tokens) for r in token_frames.read_frames(spark, folder).collect()))
+    assert [(d, c) for _, d, c, _ in read] == sorted(((d, crc(ids(t, 2))) for d, t in rows), key=lambda x: (x[0] is not None, x))
+    assert read[0][0] == 0 and all(a[0] + a[3] == b[0] for a, b in zip(read, read[1:], strict=False))
+
+
 def test_file_format():
     sink, packer = io.BytesIO(), zstandard.ZstdCompressor(level=3, write_checksum=True)
     docs = [(5, [1, 2, 3]), (None, [7]), (9, list(range(200_000)))]
